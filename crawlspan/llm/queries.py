@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlspan.llm import rules
+from crawlspan.llm import packing, pieces, rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,18 @@ FROM l CROSS JOIN g GROUP BY policy, rule""",
 )
 def rule_ablations(spark, sf_dir):
     return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
+
+
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
