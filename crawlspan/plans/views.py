@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlspan.session import ship
+
 RECORDS_SQL = """records AS (
   SELECT page_id, url, html AS content,
     CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/xhtml+xml'
@@ -20,7 +22,7 @@ RECORDS_SQL = """records AS (
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured pages: page_id, url, content, mime_type, crawl_date (yyyyMMdd)."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = ship(spark).read.parquet(f"{sf_dir}/pages.parquet")
     m = F.col("page_id") % 7
     return pages.select(
         "page_id",

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +30,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once in each session, wherever it was imported from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_crawlspan_shipped", False):
+        return spark
+    home = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as build:
+        shutil.copytree(home, Path(build, home.name), ignore=shutil.ignore_patterns("__pycache__"))
+        place = tempfile.mkdtemp(prefix="crawlspan-code-")  # the driver serves it from here
+        sc.addPyFile(shutil.make_archive(f"{place}/{home.name}", "zip", build, home.name))
+    sc._crawlspan_shipped = True
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
