@@ -162,7 +162,7 @@ class PieceModel:
         raw = _gather(body, starts, ends - starts)
         word_at = np.concatenate([[0], np.cumsum(ends - starts)])
         at = np.flatnonzero((raw & 0xC0) != 0x80).astype(np.int32)  # where each symbol begins in raw
-        code = _codepoints(raw, at)
+        code = T.codepoints(raw, at)
         code[code == 32] = 0x2581
         sym = self.symbol[code]
         sym[sym < 0] = self.first_unknown
@@ -296,20 +296,6 @@ def _gather(pool: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return pool[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
-def _codepoints(raw: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """Code points of valid UTF-8, given where characters begin."""
-    b0 = raw[lead].astype(np.int64)
-    code = b0.copy()
-    for size, low, bits in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
-        k = np.flatnonzero(b0 >= low if size == 4 else (b0 >= low) & (b0 < low + (0x20 if size == 2 else 0x10)))
-        if len(k):
-            c = b0[k] & bits
-            for j in range(1, size):
-                c = (c << 6) | (raw[lead[k] + j] & 0x3F)
-            code[k] = c
-    return code
-
-
 def _leftmost(hit: np.ndarray) -> np.ndarray:
     """Of sorted positions of pairs, those kept when overlapping ones are taken from the left."""
     if not len(hit):

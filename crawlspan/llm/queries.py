@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlspan.llm import packing, pieces, rules, token_counts
+from crawlspan.llm import packing, pieces, rules, token_counts, toxicity
+from crawlspan.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _PASS = ", ".join(f"(fail_bits & {m}) = 0 AS pass_{v}" for v, m in rules.POLICIES.items())
@@ -50,6 +51,12 @@ def rule_ablations(spark, sf_dir):
     return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark, sf_dir):
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))

@@ -113,3 +113,17 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
         for k in range(1, n):
             h = h * np.uint64(0xD6E8FEB86659FD93) + words[k : k + m]
     return mix(h)
+
+
+def codepoints(raw: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Code points of valid UTF-8, given where characters begin."""
+    b0 = raw[lead].astype(np.int64)
+    code = b0.copy()
+    for size, low, bits in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+        k = np.flatnonzero(b0 >= low if size == 4 else (b0 >= low) & (b0 < low + (0x20 if size == 2 else 0x10)))
+        if len(k):
+            c = b0[k] & bits
+            for j in range(1, size):
+                c = (c << 6) | (raw[lead[k] + j] & 0x3F)
+            code[k] = c
+    return code
