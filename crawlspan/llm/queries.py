@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlspan.llm import packing, pieces, rules, token_counts, toxicity
+from crawlspan.llm import packing, pieces, rules, simhash, token_counts, toxicity
 from crawlspan.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op4_simhash")
+def op4_simhash(spark, sf_dir):
+    return simhash.duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark, sf_dir):
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
