@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlspan.llm import packing, pieces, rules, simhash, token_counts, toxicity
+import corpus_pipeline
+from crawlspan.llm import packing, pieces, rules, simhash, substring, token_counts, toxicity
 from crawlspan.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,13 @@ def op7_packing(spark, sf_dir):
 @query("op9_sentencepiece")
 def op9_sentencepiece(spark, sf_dir):
     return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark, sf_dir):
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
