@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from crawlspan.llm import packing, pieces, rules, simhash, substring, token_counts, toxicity
+from crawlspan.llm import ctw, packing, pieces, rules, simhash, substring, token_counts, toxicity
 from crawlspan.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op4_simhash(spark, sf_dir):
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_context_tree_weighting")
+def op5_context_tree_weighting(spark, sf_dir):
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark, sf_dir):
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))

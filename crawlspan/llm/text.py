@@ -127,3 +127,25 @@ def codepoints(raw: np.ndarray, lead: np.ndarray) -> np.ndarray:
                 c = (c << 6) | (raw[lead[k] + j] & 0x3F)
             code[k] = c
     return code
+
+
+def keyed(batches: Iterator[pa.RecordBatch], limit: int = 1 << 24) -> Iterator[pa.Table]:
+    """Tables of whole keys (first column, sorted), of about `limit` bytes or one key."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < limit:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
