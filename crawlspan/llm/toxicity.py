@@ -73,12 +73,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: st
     return rows.join(F.broadcast(chosen), "_k").select("_y", "_t", F.xxhash64("_t").alias("_h"))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", bound: int = 20_000, least_z: float = 5.0, alpha: float = 1.0, ridge: float = 1e-3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", bound: int = 20_000, least_z: float = 5.0, least_ratio: float = 2.0, alpha: float = 1.0, ridge: float = 1e-3) -> Model:
     """Fits the classifier on at most `bound` labelled documents, chosen by a hash of their id.
 
     N-gram counts are summed by executors; the driver gets those n-grams alone
     whose shares among toxic and clean texts differ by `least_z` standard
-    errors, and for each training text the ones of them that it holds. Several
+    errors and by a factor of `least_ratio`, and for each training text the ones
+    of them that it holds. Several
     labels of one id count as their maximum; labels without a document, and NULL
     labels, don't count. Without both classes the model has no features and
     rejects nothing.
@@ -87,32 +88,30 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int32)
-        totals = np.zeros(2, np.int64)
         for batch in batches:
             y = (batch.column(0).to_numpy() != 0).astype(np.int64)
             body, offsets = T.flat(batch.column(1))
-            totals += np.bincount(y, minlength=2)
             for i, j in T.slices(offsets, 1 << 20):
                 row, bucket = features(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 np.add.at(counts, (y[i:j][row], bucket), 1)
         k = np.flatnonzero(counts.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(counts[0][k], pa.int64()), pa.array(counts[1][k], pa.int64())], ["bucket", "clean", "toxic"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array(totals[:1]), pa.array(totals[1:])], ["bucket", "clean", "toxic"])
 
     # one row for each copy of a text would count a passage once for every copy
     unique = rows.groupBy("_h").agg(F.max("_y").alias("_y"), F.first("_t").alias("_t")).select("_y", "_t")
     unique = unique.repartition(8)
+    seen = {r.toxic: r.n for r in unique.groupBy((F.col("_y") != 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(seen) < 2:
+        return Model(np.zeros(0, np.int64), np.zeros(0), -20.0)
+    nt, nc = seen[True], seen[False]
     summed = unique.mapInArrow(held, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = summed.filter("bucket = -1").select(F.col("clean").alias("nc"), F.col("toxic").alias("nt"))
-    pool = (F.col("clean") + F.col("toxic")) / (F.col("nc") + F.col("nt"))
-    z = (F.col("toxic") / F.col("nt") - F.col("clean") / F.col("nc")) / F.sqrt(pool * (1 - pool) * (1 / F.col("nt") + 1 / F.col("nc")))
-    chosen = summed.filter("bucket >= 0").crossJoin(F.broadcast(total)).filter((F.col("nc") > 0) & (F.col("nt") > 0) & (pool < 1)).filter(F.abs(z) >= least_z).collect()
-    if not chosen:
+    pool = (F.col("clean") + F.col("toxic")) / (nt + nc)
+    z = (F.col("toxic") / nt - F.col("clean") / nc) / F.sqrt(pool * (1 - pool) * (1 / nt + 1 / nc))
+    log_ratio = F.log((F.col("toxic") + alpha) / (nt + alpha)) - F.log((F.col("clean") + alpha) / (nc + alpha))
+    chosen = summed.filter(pool < 1).filter(F.abs(z) >= least_z).select("bucket", log_ratio.alias("ratio")).filter(F.abs("ratio") >= float(np.log(least_ratio))).toArrow().sort_by("bucket")
+    if not chosen.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), -20.0)
-    chosen.sort(key=lambda r: r.bucket)
-    buckets = np.array([r.bucket for r in chosen], np.int64)
-    p, q = np.array([r.toxic for r in chosen]) + alpha, np.array([r.clean for r in chosen]) + alpha
-    ratio = np.log((p / (chosen[0].nt + alpha)) / (q / (chosen[0].nc + alpha)))
+    buckets, ratio = chosen["bucket"].to_numpy().astype(np.int64), chosen["ratio"].to_numpy()
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(1 << BITS, bool)
@@ -123,11 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))], ["y", "f"])
 
-    got = unique.mapInArrow(present, "y int, f array<int>").toPandas()
+    got = unique.mapInArrow(present, "y int, f array<int>").toArrow().combine_chunks()
     y = (got["y"].to_numpy() != 0).astype(float)
-    sizes = np.array([len(x) for x in got["f"]])
-    column = np.concatenate([np.asarray(x, np.int64) for x in got["f"]]) if sizes.sum() else np.zeros(0, np.int64)
-    coef, bias = _logistic(np.repeat(np.arange(len(y)), sizes), column, ratio, y, ridge)
+    lists = got["f"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    column = lists.flatten().to_numpy()
+    coef, bias = _logistic(np.repeat(np.arange(len(y), dtype=np.int32), sizes), column, ratio, y, ridge)
     return Model(buckets, coef * ratio, bias)
 
 
