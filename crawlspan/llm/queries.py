@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from crawlspan.llm import ctw, packing, pieces, rules, simhash, substring, token_counts, toxicity
+from crawlspan.llm import ctw, packing, pieces, rules, simhash, substring, token_counts, toxicity, url_filter
 from crawlspan.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op2_url_filter")
+def op2_url_filter(spark, sf_dir):
+    return url_filter.score(table(spark, sf_dir, "pages"))
+
+
 @query("op4_simhash")
 def op4_simhash(spark, sf_dir):
     return simhash.duplicates(table(spark, sf_dir, "documents"))
