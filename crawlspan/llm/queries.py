@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from crawlspan.llm import ctw, packing, pieces, rules, simhash, substring, token_counts, toxicity, url_filter
+from crawlspan.llm import ann, ctw, packing, pieces, rules, simhash, substring, token_counts, toxicity, url_filter
 from crawlspan.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op2_url_filter(spark, sf_dir):
     return url_filter.score(table(spark, sf_dir, "pages"))
 
 
+@query("op3_nearest_neighbours")
+def op3_nearest_neighbours(spark, sf_dir):
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_simhash")
 def op4_simhash(spark, sf_dir):
     return simhash.duplicates(table(spark, sf_dir, "documents"))
