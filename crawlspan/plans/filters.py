@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crawlspan.functions.text import DateComponent
 from crawlspan.functions.url import extract_domain, remove_www
+from crawlspan.operators import filters as ops
 from crawlspan.operators.aggregate import count_items
-from crawlspan.operators.filters import keep_valid_pages
 from crawlspan.plans.registry import query
 from crawlspan.plans.views import RECORDS_SQL, records
 
@@ -22,5 +23,66 @@ SELECT regexp_replace(regexp_extract(url, '^https?://([^/:?#]*)', 1), '^\\s*www\
 FROM records WHERE {VALID_SQL} GROUP BY 1""",
 )
 def pages_by_domain(spark, sf_dir):
-    r = records(spark, sf_dir).transform(keep_valid_pages)
+    r = records(spark, sf_dir).transform(ops.keep_valid_pages)
     return count_items(r.select(remove_www(extract_domain(F.col("url"))).alias("domain")), "domain")
+
+
+_HOST = "regexp_extract(url, '^https?://([^/:?#]*)', 1)"
+_ROW = "page_id, url, mime_type, crawl_date"
+
+
+def _filter(name: str, where: str, f, columns: str = _ROW):
+    """A filter over the records view: its rows without the content."""
+
+    @query(name, f"WITH {RECORDS_SQL} SELECT {columns} FROM records WHERE {where}")
+    def run(spark, sf_dir):
+        return f(records(spark, sf_dir)).select(*columns.split(", "))
+
+    return run
+
+
+_TYPES = ["text/plain", "image/png"]
+_SOME_URL = "https?://www[.].*/en/.*"
+_SOME_TEXT = ["<b>The ", "charset=\"utf-8\"><title>An"]
+_DOMAIN = "blog.tionsh.example.net"
+
+_filter("keep_valid_pages", VALID_SQL, ops.keep_valid_pages)
+_filter("keep_images", "crawl_date IS NOT NULL AND (coalesce(contains(mime_type, 'image/'), FALSE) OR regexp_matches(url, '(jpg|jpeg|png)$')) AND NOT url LIKE '%robots.txt'", ops.keep_images)
+_filter("keep_mime_types", "mime_type IN ('text/plain', 'image/png')", lambda r: ops.keep_mime_types(r, _TYPES))
+_filter("discard_mime_types", "NOT coalesce(mime_type IN ('text/plain', 'image/png'), FALSE)", lambda r: ops.discard_mime_types(r, _TYPES))
+_filter("keep_date", "crawl_date = '20080410'", lambda r: ops.keep_date(r, "20080410"))
+_filter("keep_month", "substring(crawl_date, 1, 6) = '200805'", lambda r: ops.keep_date(r, "200805", DateComponent.YYYYMM))
+_filter("keep_undated", "crawl_date IS NULL", lambda r: ops.keep_date(r, None))
+_filter("discard_date", "crawl_date IS DISTINCT FROM '20080410'", lambda r: ops.discard_date(r, "20080410"))
+_filter("discard_undated", "crawl_date IS NOT NULL", lambda r: ops.discard_date(r, None))
+_filter("keep_date_range", "crawl_date BETWEEN '20080405' AND '20080502'", lambda r: ops.keep_date_range(r, "20080405", "20080502"))
+_filter("keep_date_from", "crawl_date >= '20080502'", lambda r: ops.keep_date_range(r, begin="20080502"))
+_filter("keep_url_patterns", f"regexp_full_match(url, '{_SOME_URL}')", lambda r: ops.keep_url_patterns(r, [_SOME_URL, "nothing"]))
+_filter("discard_url_patterns", f"NOT regexp_full_match(url, '{_SOME_URL}')", lambda r: ops.discard_url_patterns(r, [_SOME_URL, "nothing"]))
+_filter("keep_domains", f"{_HOST} = '{_DOMAIN}'", lambda r: ops.keep_domains(r, [_DOMAIN]))
+_filter("keep_domains_without_www", f"regexp_replace({_HOST}, '^www\\.', '') = 'ththhe.example.com'", lambda r: ops.keep_domains(r, ["ththhe.example.com"], strip_www=True))
+_filter("discard_domains", f"{_HOST} <> '{_DOMAIN}'", lambda r: ops.discard_domains(r, [_DOMAIN]))
+_filter("keep_content", "content LIKE '%<b>The %' OR content LIKE '%charset=\"utf-8\"><title>An%'", lambda r: ops.keep_content(r, _SOME_TEXT))
+_filter("discard_content", "NOT (content LIKE '%<b>The %' OR content LIKE '%charset=\"utf-8\"><title>An%')", lambda r: ops.discard_content(r, _SOME_TEXT))
+_filter("keep_http", "url LIKE 'http://%'", ops.keep_http)
+_filter("keep_html_type", "mime_type = 'text/html'", lambda r: ops.keep_mime_types(r, ["text/html"]))
+
+
+@query("keep_urls", f"WITH {RECORDS_SQL} SELECT {_ROW} FROM records WHERE url IN (SELECT url FROM pages WHERE page_id < 50)")
+def keep_urls(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return ops.keep_known(r, r.filter("page_id < 50")).select(*_ROW.split(", "))
+
+
+@query("discard_urls", f"WITH {RECORDS_SQL} SELECT {_ROW} FROM records WHERE url NOT LIKE '%/en/%' OR url NOT LIKE 'https://www%'")
+def discard_urls(spark, sf_dir):
+    r = records(spark, sf_dir)
+    out = r.filter("url like '%/en/%' and url like 'https://www%'").select(F.col("url").alias("u"))
+    return r.join(out, F.col("url") == F.col("u"), "left_anti").select(*_ROW.split(", "))
+
+
+@query("url_search", f"WITH {RECORDS_SQL} SELECT url, crawl_date, mime_type, length(content) AS size FROM records WHERE url = (SELECT min(url) FROM pages)")
+def url_search(spark, sf_dir):
+    r = records(spark, sf_dir)
+    first = r.agg(F.min("url").alias("url"))
+    return r.join(F.broadcast(first), "url").select("url", "crawl_date", "mime_type", F.length("content").cast("long").alias("size"))
