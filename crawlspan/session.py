@@ -19,6 +19,9 @@ DEFAULTS = {
 }
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session on this machine, for tests and benchmarks. A cluster brings its own session."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("crawlspan")
@@ -31,8 +34,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once in each session, wherever it was imported from."""
+    """Sends this package to the executors, once in each session, wherever it was imported from.
+
+    Unless the session says otherwise, it also lowers the size of Arrow batches:
+    the operators work through a batch in slices, so larger ones only cost
+    memory, twice for each core.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) in (None, "67108864b"):
+        spark.conf.set(_BATCH, str(8 << 20))
     if getattr(sc, "_crawlspan_shipped", False):
         return spark
     home = Path(__file__).resolve().parent
