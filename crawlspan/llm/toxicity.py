@@ -118,9 +118,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         mask[buckets] = True
         for batch in batches:
             body, offsets = T.flat(batch.column(1))
-            row, bucket = features(body, offsets, mask)
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))], ["y", "f"])
+            for i, j in T.slices(offsets):
+                row, bucket = features(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], mask)
+                at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["y", "f"])
 
     got = unique.mapInArrow(present, "y int, f array<int>").toArrow().combine_chunks()
     y = (got["y"].to_numpy() != 0).astype(float)
