@@ -29,8 +29,8 @@ ROUNDS = 4
 #: Lists a vector may stand in, and how much farther than the nearest their centroid may be.
 REPLICAS, CLOSURE = 4, 1.15
 #: Lists a query may read at most, and the distance ratio that selects them.
-PROBES, PROBE_RATIO = 48, 1.5
-DEGREE, BEAM = 24, 64
+PROBES, PROBE_RATIO = 128, 1.2
+DEGREE, BEAM = 24, 128
 
 
 @dataclass(frozen=True)
