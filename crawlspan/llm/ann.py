@@ -30,6 +30,8 @@ ROUNDS = 4
 REPLICAS, CLOSURE = 4, 1.15
 #: Lists a query may read at most, and the distance ratio that selects them.
 PROBES, PROBE_RATIO = 128, 1.2
+#: Lists that it reads however far they are.
+LEAST_PROBES = 16
 DEGREE, BEAM = 24, 128
 
 
@@ -108,6 +110,11 @@ def search(g: Graph, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.
     return np.take_along_axis(at, order, 1), np.take_along_axis(d, order, 1)
 
 
+def _step(g: Graph) -> int:
+    """Queries to search at once, so that the marks of what each has seen take at most 32 MB."""
+    return max(16, min(512, (32 << 20) // len(g.points)))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
@@ -136,9 +143,10 @@ def centroids(rows: DataFrame, dim: int, n: int, list_size: int = LIST_SIZE, rou
             sums, counts = np.zeros(g.points.shape), np.zeros(len(g.points), np.int64)
             for batch in batches:
                 x = _matrix(batch.column(0), dim)
-                for i in range(0, len(x), 512):
-                    at = search(g, x[i : i + 512], 1, beam=16)[0][:, 0]
-                    np.add.at(sums, at, x[i : i + 512])
+                step = _step(g)
+                for i in range(0, len(x), step):
+                    at = search(g, x[i : i + step], 1, beam=16)[0][:, 0]
+                    np.add.at(sums, at, x[i : i + step])
                     counts += np.bincount(at, minlength=len(counts))
             k = np.flatnonzero(counts)
             if len(k):
@@ -204,12 +212,13 @@ def neighbours(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim)
-            for i in range(0, len(x), 512):
-                part = x[i : i + 512]
+            step = _step(g)
+            for i in range(0, len(x), step):
+                part = x[i : i + step]
                 row, at = _placed(g, part)
                 yield _out(batch.slice(i, len(part)), row, at, False)
                 where, d = search(g, part, probes)
-                row, col = np.nonzero((where >= 0) & (d <= probe_ratio**2 * d[:, :1]))
+                row, col = np.nonzero((where >= 0) & ((d <= probe_ratio**2 * d[:, :1]) | (np.arange(where.shape[1]) < LEAST_PROBES)))
                 yield _out(batch.slice(i, len(part)), row, where[row, col], True)
 
     def _out(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray, asks: bool) -> pa.RecordBatch:
