@@ -69,31 +69,35 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     empty ledger. Texts are measured whole.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    flat = docs.select(F.col(key).alias("id"), t.alias("t"), F.trim(F.regexp_replace(t, _SPACE, " ")).alias("w"))
+    flat = docs.select(F.col(key).alias("id"), _once(t=t, w=F.trim(F.regexp_replace(t, _SPACE, " "))))
     parts = flat.select(
         "id",
-        F.length("t").alias("nc"),
-        F.when(F.col("w") == "", F.array().cast("array<string>")).otherwise(F.split("w", " ")).alias("ws"),
-        F.split("t", "\n").alias("ls"),
-        (F.length("t") - F.length(F.translate("t", "#$%&*", ""))).alias("symbols"),
-        F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")).alias("uppers"),
-        (F.length("t") - F.length(F.replace(F.col("t"), F.lit("!"), F.lit("")))).alias("bangs"),
-        (F.length("t") - F.length(F.replace(F.col("t"), F.lit("|"), F.lit("")))).alias("pipes"),
-        F.length(F.replace(F.col("w"), F.lit(" "), F.lit(""))).alias("solid"),
+        _once(
+            nc=F.length("t"),
+            ws=F.when(F.col("w") == "", F.array().cast("array<string>")).otherwise(F.split("w", " ")),
+            ls=F.split("t", "\n"),
+            symbols=F.length("t") - F.length(F.translate("t", "#$%&*", "")),
+            uppers=F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")),
+            bangs=F.length("t") - F.length(F.replace(F.col("t"), F.lit("!"), F.lit(""))),
+            pipes=F.length("t") - F.length(F.replace(F.col("t"), F.lit("|"), F.lit(""))),
+            solid=F.length(F.replace(F.col("w"), F.lit(" "), F.lit(""))),
+        ),
     )
     n = F.greatest(F.size("ws"), F.lit(1))
     measured = parts.select(
-        F.col("id"),
-        F.col("nc").cast("long").alias("n_chars"),
-        F.size("ws").cast("long").alias("n_words"),
-        (F.col("symbols") / F.greatest("nc", F.lit(1))).alias("symbol_ratio"),
-        (F.col("uppers") / F.greatest("nc", F.lit(1))).alias("upper_ratio"),
-        (F.col("bangs") / n).alias("bang_ratio"),
-        (F.size(F.array_distinct("ws")) / n).alias("distinct_ratio"),
-        (F.coalesce(_adjacent("ws"), F.lit(0)) / n).alias("adjacent_ratio"),
-        ((F.size("ls") - F.size(F.array_distinct("ls"))) / F.size("ls")).alias("line_dup_ratio"),
-        (F.col("pipes") / n).alias("pipe_ratio"),
-        (F.col("solid") / n).alias("mean_word"),
+        "id",
+        _once(
+            n_chars=F.col("nc").cast("long"),
+            n_words=F.size("ws").cast("long"),
+            symbol_ratio=F.col("symbols") / F.greatest("nc", F.lit(1)),
+            upper_ratio=F.col("uppers") / F.greatest("nc", F.lit(1)),
+            bang_ratio=F.col("bangs") / n,
+            distinct_ratio=F.size(F.array_distinct("ws")) / n,
+            adjacent_ratio=F.coalesce(_adjacent("ws"), F.lit(0)) / n,
+            line_dup_ratio=(F.size("ls") - F.size(F.array_distinct("ls"))) / F.size("ls"),
+            pipe_ratio=F.col("pipes") / n,
+            mean_word=F.col("solid") / n,
+        ),
     )
     bits = None
     for r in RULES:
@@ -102,6 +106,11 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return measured.select(F.col("id").alias(key), *MEASURES, bits.alias("fail_bits"))
 
 
+def _once(**columns: Column) -> Column:
+    """The columns as the one row of a generator, which the optimiser doesn't copy into every later use of them."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def _adjacent(words: str) -> Column:
     """How many words equal the one before."""
     w = F.col(words)
