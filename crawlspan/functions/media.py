@@ -68,7 +68,7 @@ MAGIC = (
     (1, "1F8B", "application/gzip"),
     (1, "377ABCAF271C", "application/x-7z-compressed"),
     (1, "52617221", "application/x-rar-compressed"),
-    (1, "D0CF11E0A1B11AE1", "application/x-tika-msoffice"),
+    (1, "D0CF11E0A1B11AE1", "application/x-ole-storage"),
     (1, "465753", "application/x-shockwave-flash"),
     (1, "435753", "application/x-shockwave-flash"),
     (1, "494433", "audio/mpeg"),

@@ -84,19 +84,24 @@ class Store:
     def captures(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self._at("captures", name))
 
-    def ingest(self, raw: DataFrame, name: str, max_bytes: int = MAX_BYTES, compression: str = "snappy") -> dict[str, int]:
-        """Adds raw crawl records; a capture that exists is replaced. Returns counts of records: seen, too_large, invalid, taken."""
+    def ingest(self, raw: DataFrame, name: str, max_bytes: int = MAX_BYTES, compression: str = "snappy", counted: bool = True) -> dict[str, int]:
+        """Adds raw crawl records; a capture that exists is replaced. Returns counts of records: seen, too_large, invalid, taken; none unless `counted`."""
         self._need(name)
+        if not counted:
+            self._replace(upsert(self.captures(name), to_captures(raw, max_bytes)), name, compression)
+            return {}
         seen, taken = Observation(), Observation()
         keyed = raw.withColumn("_key", url_to_key("url"))
         count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
         watched = keyed.observe(seen, F.count(F.lit(1)).alias("seen"), count(F.octet_length("content") > max_bytes).alias("too_large"), count(F.col("_key").isNull()).alias("invalid"))
         fresh = to_captures(watched.drop("_key"), max_bytes).observe(taken, F.count(F.lit(1)).alias("taken"))
-        merged = upsert(self.captures(name), fresh)
-        # the old files are read while the new ones are written, hence two steps
+        self._replace(upsert(self.captures(name), fresh), name, compression)
+        return seen.get | taken.get
+
+    def _replace(self, merged: DataFrame, name: str, compression: str) -> None:
+        """The old files are read while the new ones are written, hence two steps."""
         merged.write.mode("overwrite").parquet(self._at("_staging", name))
         self._write(self.spark.read.parquet(self._at("_staging", name)), name, compression)
-        return seen.get | taken.get
 
     def content(self, name: str, url: str, instant: str) -> bytes | None:
         """Content of the one capture of a URL at a 14-digit instant; None if there is none or several."""
