@@ -240,7 +240,7 @@ class PieceModel:
         ends = np.append(starts[1:], len(body))
         keys = T.span_hashes(body, starts, ends)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.seen) > 1_500_000:
+        if len(self.seen) > 400_000:
             self._forget()
         spot = np.searchsorted(self.seen, distinct)
         fresh = np.ones(len(distinct), bool)
