@@ -4,8 +4,10 @@ Vectors are spread over lists around centroids. Centroids come from Lloyd
 rounds over all vectors, after each of which long lists are split and short
 ones dropped. A vector near a boundary stands in several lists. Centroids are
 the only thing held in memory: a neighbour graph over them is searched best
-first. A query reads the lists whose centroid is at most `probe_ratio` times as
-far as the nearest one; lists and queries meet in one shuffle.
+first. A query reads all lists whose centroid is at most `probe_ratio` times as
+far as the nearest one, however many they are; lists and queries meet in two
+shuffles. The first is for the few nearest lists and gives each query a bound:
+from the others, only vectors within it come back.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ CENTROID_BYTES = 64 << 20
 ROUNDS = 4
 #: Lists a vector may stand in, and how much farther than the nearest their centroid may be.
 REPLICAS, CLOSURE = 4, 1.15
-#: Lists a query may read at most, and the distance ratio that selects them.
-PROBES, PROBE_RATIO = 128, 1.2
+#: A query reads the lists whose centroid is within this ratio of the nearest one's distance.
+PROBE_RATIO = 1.2
 #: Lists that it reads however far they are.
 LEAST_PROBES = 16
 DEGREE, BEAM = 24, 128
@@ -110,6 +112,15 @@ def search(g: Graph, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.
     return np.take_along_axis(at, order, 1), np.take_along_axis(d, order, 1)
 
 
+def within(g: Graph, queries: np.ndarray, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, centroid) of all centroids at most `ratio` times as far as the nearest one, by blocks of centroids."""
+    d0 = search(g, queries, 1)[1]
+    block = max(1024, (8 << 20) // max(len(queries), 1))
+    for i in range(0, len(g.points), block):
+        row, col = np.nonzero(squared(queries, g.points[i : i + block]) <= ratio**2 * d0)
+        yield row, col + i
+
+
 def _step(g: Graph) -> int:
     """Queries to search at once, so that the marks of what each has seen take at most 32 MB."""
     return max(16, min(512, (32 << 20) // len(g.points)))
@@ -191,7 +202,7 @@ def _placed(g: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, at[row, col]
 
 
-def neighbours(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", list_size: int = LIST_SIZE, probes: int = PROBES, probe_ratio: float = PROBE_RATIO) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", list_size: int = LIST_SIZE, probe_ratio: float = PROBE_RATIO) -> DataFrame:
     """`key`, neighbour_id, rank, distance: about the k nearest other vectors of every vector, by Euclidean distance.
 
     Every vector is a query. Ties go to the smaller id. Rows with a NULL id, a
@@ -209,25 +220,37 @@ def neighbours(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str
     n = rows.count()
     g = graph(centroids(rows, dim, n, list_size))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), dim)
+            step = _step(g)
+            for i in range(0, len(x), step):
+                part, rows_ = x[i : i + step], batch.slice(i, step)
+                yield _out(rows_, *_placed(g, part), False)
+                where, _ = search(g, part, LEAST_PROBES)
+                row, col = np.nonzero(where >= 0)
+                yield _out(rows_, row, where[row, col], True)
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim)
             step = _step(g)
             for i in range(0, len(x), step):
-                part = x[i : i + step]
-                row, at = _placed(g, part)
-                yield _out(batch.slice(i, len(part)), row, at, False)
-                where, d = search(g, part, probes)
-                row, col = np.nonzero((where >= 0) & ((d <= probe_ratio**2 * d[:, :1]) | (np.arange(where.shape[1]) < LEAST_PROBES)))
-                yield _out(batch.slice(i, len(part)), row, where[row, col], True)
+                part, rows_ = x[i : i + step], batch.slice(i, step)
+                yield _out(rows_, *_placed(g, part), False)
+                for row, at in within(g, part, probe_ratio):
+                    for j in range(0, len(row), 1 << 14):
+                        yield _out(rows_, row[j : j + (1 << 14)], at[j : j + (1 << 14)], True)
 
     def _out(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray, asks: bool) -> pa.RecordBatch:
         pick = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(row), asks)), batch.column(0).take(pick), batch.column(1).take(pick)], ["list", "asks", "id", "v"])
+        bound = batch.column(2).take(pick) if batch.num_columns > 2 else pa.nulls(len(row), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(row), asks)), batch.column(0).take(pick), batch.column(1).take(pick), bound], ["list", "asks", "id", "v", "bound"])
 
     def scan(table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
         ids, x = table["id"].combine_chunks(), _matrix(table["v"].combine_chunks(), dim)
+        bound = table["bound"].fill_null(float("inf")).to_numpy()
         member, query = np.flatnonzero(~asks), np.flatnonzero(asks)
         rank = np.empty(len(ids), np.int64)  # order of ids, for ties
         rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
@@ -242,28 +265,36 @@ def neighbours(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str
                 d[same[q][:, None] == same[member]] = np.inf
                 near = np.argsort(d, 1, kind="stable")[:, :k]
                 dist = np.take_along_axis(d, near, 1)
-                r, c = np.nonzero(np.isfinite(dist))
+                r, c = np.nonzero(np.isfinite(dist) & (dist <= bound[q][:, None]))
                 found.append([q[r], member[near[r, c]], dist[r, c]])
         a, b, d = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(d)], ["q", "id", "d"])
 
-    placed = rows.mapInArrow(post, f"list int, asks boolean, id {kind}, v array<float>")
-    partial = placed.groupBy("list").applyInArrow(scan, f"q {kind}, id {kind}, d double")
+    def asked(placed: DataFrame) -> DataFrame:
+        return placed.groupBy("list").applyInArrow(scan, f"q {kind}, id {kind}, d double")
+
+    placed = f"list int, asks boolean, id {kind}, v array<float>, bound double"
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         table = pa.Table.from_batches(held) if held else None
         if table is None or not table.num_rows:
             return
-        table = table.take(pc.sort_indices(table, [("q", "ascending"), ("d", "ascending"), ("id", "ascending")])).combine_chunks()
+        # a replica stands in several lists, and a list is read in both passes: a pair counts once
+        table = table.take(pc.sort_indices(table, [("q", "ascending"), ("id", "ascending"), ("d", "ascending")])).combine_chunks()
         q, i = (pc.dictionary_encode(table[c].combine_chunks()).indices.to_numpy() for c in ("q", "id"))
-        # a replica stands in several lists: the same pair has the same distance, hence follows itself
-        fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])
-        table, q = table.filter(pa.array(fresh)), q[fresh]
+        table = table.filter(pa.array(np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])))
+        table = table.take(pc.sort_indices(table, [("q", "ascending"), ("d", "ascending"), ("id", "ascending")])).combine_chunks()
+        q = pc.dictionary_encode(table["q"].combine_chunks()).indices.to_numpy()
         first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
         keep = pa.array(rank < k)
         table = table.filter(keep)
         yield from pa.table([table["q"], table["id"], pa.array((rank[rank < k] + 1).astype(np.int32)), pc.sqrt(table["d"])], [key, "neighbour_id", "rank", "distance"]).to_batches()
 
-    return partial.repartition("q").mapInArrow(best, schema)
+    first = cut_lineage(asked(rows.mapInArrow(near, placed)).repartition("q").mapInArrow(best, schema))
+    # a query that has k neighbours already takes no farther ones, but for rounding
+    bounds = first.filter(F.col("rank") == k).select(F.col(key).alias("id"), (F.col("distance") * F.col("distance") * (1 + 1e-6) + 1e-9).alias("bound"))
+    more = asked(rows.join(bounds, "id", "left").select("id", "v", "bound").mapInArrow(far, placed))
+    again = first.select(F.col(key).alias("q"), F.col("neighbour_id").alias("id"), (F.col("distance") * F.col("distance")).alias("d"))
+    return more.unionByName(again).repartition("q").mapInArrow(best, schema)

@@ -53,3 +53,29 @@ def test_awkward_rows(spark):
     assert A.neighbours(df.filter("vec_id = 1")).count() == 0
     same = spark.range(500).selectExpr("id as vec_id", "array(1.0F, 2.0F) as embedding")
     assert A.neighbours(same, k=3).count() == 1500
+
+
+def test_recall_with_far_more_lists_than_were_read(spark):
+    """Some 800 lists, most of them within the ratio; of the nearest 128 alone a query has a part of its neighbours."""
+    x = np.random.default_rng(5).standard_normal((4800, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in A.neighbours(df, list_size=6, probe_ratio=1.5).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    true = np.concatenate([exact_rows(x, i) for i in range(0, len(x), 400)])
+    assert np.mean([len(got[i] & set(t)) / 10 for i, t in enumerate(true)]) >= 0.97
+
+
+def exact_rows(x, i):
+    d = A.squared(x[i : i + 400], x)
+    d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+    return np.argsort(d, 1, kind="stable")[:, :10]
+
+
+def test_within_is_all_within():
+    rng = np.random.default_rng(4)
+    g = A.graph(rng.standard_normal((3000, 16)).astype(np.float32))
+    q = rng.standard_normal((20, 16)).astype(np.float32)
+    d = A.squared(q, g.points)
+    pairs = {(r, c) for row, col in A.within(g, q, 1.5) for r, c in zip(row, col)}
+    assert pairs == set(zip(*np.nonzero(d <= 1.5**2 * A.search(g, q, 1)[1]))) and len(pairs) > 20 * 128
