@@ -38,6 +38,14 @@ def op8_quality_rules(spark, sf_dir):
     return rules.apply_policies(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+_LATER_PASS = ", ".join(f"(fail_bits & {m}) = 0 AS pass_{v}" for v, m in rules.LATER_POLICIES.items())
+
+
+@query("op8_quality_rules_later", f"WITH {rules.later_ledger_sql()} SELECT *, {_LATER_PASS} FROM z")
+def op8_quality_rules_later(spark, sf_dir):
+    return rules.apply_policies(rules.later_ledger(table(spark, sf_dir, "documents")), rules.LATER_POLICIES)
+
+
 _GRID = ", ".join(f"('{v}', {m}, '{r.name}', {1 << r.bit})" for v, m in rules.POLICIES.items() for r in rules.RULES if m >> r.bit & 1)
 
 

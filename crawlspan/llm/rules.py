@@ -53,8 +53,20 @@ POLICIES = {
     "strict": mask(*(r.name for r in RULES)),
 }
 
+#: Words in a window of `window_ratio`, and what a text's distinct words grow with beyond it.
+WINDOW = 500
+#: Measurements, rules and policies published since, in a ledger of their own: what `ledger` returns never changes either.
+LATER_MEASURES = ("window_ratio",)
+LATER_RULES = (
+    Rule(11, "little_variety", f"n_words >= 50 AND (window_ratio < 0.35 OR distinct_ratio * sqrt(greatest(n_words, {WINDOW}) / {WINDOW}) < 0.35)"),
+)
+_V3 = ("empty", "symbols", "capitals", "exclamations", "stuttering", "repeated_lines", "table_debris", "word_length")
+LATER_POLICIES = {
+    "v3": mask(*_V3) | 1 << 11,
+}
+
 #: The version that the pipeline applies.
-CURRENT = "v2"
+CURRENT = "v3"
 
 _SPACE = "[ \\t\\n\\r]+"
 
@@ -68,6 +80,22 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     columns, whatever they are called, are ignored; an empty table gives an
     empty ledger. Texts are measured whole.
     """
+    return _ledger(docs, text, key, RULES, MEASURES)
+
+
+def later_ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`ledger` with LATER_MEASURES and the bits of LATER_RULES as well.
+
+    window_ratio is the number of distinct words in each WINDOW words, summed
+    over the whole text, by all its words: unlike distinct_ratio it doesn't fall
+    with length. A passage longer than a window that comes again and again is
+    told by the distinct words of the whole text, which in prose grow with the
+    square root of its length at least.
+    """
+    return _ledger(docs, text, key, RULES + LATER_RULES, MEASURES + LATER_MEASURES)
+
+
+def _ledger(docs: DataFrame, text: str, key: str, rules: tuple[Rule, ...], measures: tuple[str, ...]) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     flat = docs.select(F.col(key).alias("id"), _once(t=t, w=F.trim(F.regexp_replace(t, _SPACE, " "))))
     parts = flat.select(
@@ -84,9 +112,13 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         ),
     )
     n = F.greatest(F.size("ws"), F.lit(1))
+    later = {
+        "window_ratio": F.when(F.size("ws") <= WINDOW, F.size(F.array_distinct("ws"))).otherwise(F.size(F.array_distinct(F.transform("ws", lambda w, i: F.concat(F.floor(i / WINDOW).cast("string"), F.lit(" "), w))))) / n,
+    }
     measured = parts.select(
         "id",
         _once(
+            **{m: c for m, c in later.items() if m in measures},
             n_chars=F.col("nc").cast("long"),
             n_words=F.size("ws").cast("long"),
             symbol_ratio=F.col("symbols") / F.greatest("nc", F.lit(1)),
@@ -100,10 +132,10 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         ),
     )
     bits = None
-    for r in RULES:
+    for r in rules:
         b = F.when(F.expr(r.sql), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long")
         bits = b if bits is None else bits.bitwiseOR(b)
-    return measured.select(F.col("id").alias(key), *MEASURES, bits.alias("fail_bits"))
+    return measured.select(F.col("id").alias(key), *measures, bits.alias("fail_bits"))
 
 
 def _once(**columns: Column) -> Column:
@@ -152,8 +184,8 @@ def accept(docs: DataFrame, version: str = CURRENT, text: str = "text", key: str
     and empty texts fail where the policy holds `empty`.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    judged = ledger(row, "_text", "_row")
-    kept = judged.filter(F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0)
+    judged = (ledger if version in POLICIES else later_ledger)(row, "_text", "_row")
+    kept = judged.filter(F.col("fail_bits").bitwiseAND(F.lit((POLICIES | LATER_POLICIES)[version]).cast("long")) == 0)
     return kept.select("_row.*")
 
 
@@ -174,3 +206,20 @@ l AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)"""
 def ledger_sql(docs: str = "documents") -> str:
     """The ledger as the CTE `l` in DuckDB SQL."""
     return _LEDGER_SQL.format(docs=docs, bits=" + ".join(f"CASE WHEN {r.sql} THEN {1 << r.bit} ELSE 0 END" for r in RULES))
+
+
+_LATER_SQL = r"""n AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id AS id, text FROM documents),
+{ledger},
+x AS (SELECT doc_id AS r, {measures} FROM p),
+y AS (SELECT n.id AS doc_id, l.* EXCLUDE (doc_id), x.* EXCLUDE (r) FROM l JOIN n ON l.doc_id = n.r JOIN x ON x.r = n.r),
+z AS (SELECT * REPLACE (CAST(fail_bits + {bits} AS BIGINT) AS fail_bits) FROM y)"""
+
+_LATER_MEASURES_SQL = {
+    "window_ratio": f"len(list_distinct(list_transform(range(len(ws)), lambda i: concat(i // {WINDOW}, ' ', ws[i + 1])))) / greatest(len(ws), 1)",
+}
+
+
+def later_ledger_sql() -> str:
+    """The later ledger as the CTE `z` in DuckDB SQL."""
+    measures = ", ".join(f"{q} AS {m}" for m, q in _LATER_MEASURES_SQL.items())
+    return _LATER_SQL.format(ledger=ledger_sql("(SELECT r AS doc_id, text FROM n)"), measures=measures, bits=" + ".join(f"CASE WHEN {r.sql} THEN {1 << r.bit} ELSE 0 END" for r in LATER_RULES))

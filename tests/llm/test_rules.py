@@ -1,5 +1,6 @@
 """Rules, policies and ablations against brute force, and awkward rows."""
 
+import random
 import re
 import unicodedata
 from collections import Counter
@@ -71,3 +72,24 @@ def test_oracle(spark, name):
     columns = sorted(df.columns)
     assert sorted(rel.columns) == columns
     assert sorted((tuple(r[x] for x in columns) for r in df.collect()), key=repr) == sorted((tuple(r[rel.columns.index(x)] for x in columns) for r in rel.fetchall()), key=repr)
+
+
+def judged(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r for r in rules.apply_policies(rules.apply_policies(rules.later_ledger(df)), rules.LATER_POLICIES).collect()}
+
+
+def prose(n):
+    """n words whose frequencies fall as in prose, without a long repeat."""
+    rnd = random.Random(n)
+    return rnd.choices([f"w{i}" for i in range(60_000)], [1 / (i + 12) for i in range(60_000)], k=n)
+
+
+def test_variety_does_not_fall_with_length(spark):
+    words = prose(100_000)
+    again = [w + str(k) for k in range(40) for w in prose(100) * 5]
+    got = judged(spark, [" ".join(words), " ".join(prose(400) * 250), " ".join(prose(400) * 10), " ".join(again), " ".join(prose(40) * 3), "", None])
+    assert not got[0].pass_v2 and got[0].pass_v3
+    assert got[0].window_ratio == pytest.approx(sum(len(set(words[i : i + rules.WINDOW])) for i in range(0, len(words), rules.WINDOW)) / len(words))
+    assert not any(got[i].pass_v3 for i in (1, 2, 3, 4, 5, 6)) and all(got[i].fail_bits >> 11 & 1 for i in (1, 2, 3, 4))
+    assert rules.accept(spark.createDataFrame([(" ".join(words),)], "text string").selectExpr("1 AS doc_id", "text")).count() == 1
