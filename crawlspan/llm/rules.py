@@ -56,17 +56,19 @@ POLICIES = {
 #: Words in a window of `window_ratio`, and what a text's distinct words grow with beyond it.
 WINDOW = 500
 #: Measurements, rules and policies published since, in a ledger of their own: what `ledger` returns never changes either.
-LATER_MEASURES = ("window_ratio",)
+LATER_MEASURES = ("window_ratio", "full_line_dup_ratio")
 LATER_RULES = (
     Rule(11, "little_variety", f"n_words >= 50 AND (window_ratio < 0.35 OR distinct_ratio * sqrt(greatest(n_words, {WINDOW}) / {WINDOW}) < 0.35)"),
+    Rule(12, "repeated_full_lines", "full_line_dup_ratio > 0.4"),
 )
 _V3 = ("empty", "symbols", "capitals", "exclamations", "stuttering", "repeated_lines", "table_debris", "word_length")
 LATER_POLICIES = {
     "v3": mask(*_V3) | 1 << 11,
+    "v4": mask(*_V3) & ~mask("repeated_lines") | 1 << 11 | 1 << 12,
 }
 
 #: The version that the pipeline applies.
-CURRENT = "v3"
+CURRENT = "v4"
 
 _SPACE = "[ \\t\\n\\r]+"
 
@@ -90,7 +92,8 @@ def later_ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     over the whole text, by all its words: unlike distinct_ratio it doesn't fall
     with length. A passage longer than a window that comes again and again is
     told by the distinct words of the whole text, which in prose grow with the
-    square root of its length at least.
+    square root of its length at least. full_line_dup_ratio leaves out lines
+    that are empty or hold only spaces, tabs and carriage returns.
     """
     return _ledger(docs, text, key, RULES + LATER_RULES, MEASURES + LATER_MEASURES)
 
@@ -104,6 +107,7 @@ def _ledger(docs: DataFrame, text: str, key: str, rules: tuple[Rule, ...], measu
             nc=F.length("t"),
             ws=F.when(F.col("w") == "", F.array().cast("array<string>")).otherwise(F.split("w", " ")),
             ls=F.split("t", "\n"),
+            **({"fl": F.filter(F.split("t", "\n"), lambda x: ~x.rlike(r"^[ \t\r]*$"))} if "full_line_dup_ratio" in measures else {}),
             symbols=F.length("t") - F.length(F.translate("t", "#$%&*", "")),
             uppers=F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")),
             bangs=F.length("t") - F.length(F.replace(F.col("t"), F.lit("!"), F.lit(""))),
@@ -114,6 +118,7 @@ def _ledger(docs: DataFrame, text: str, key: str, rules: tuple[Rule, ...], measu
     n = F.greatest(F.size("ws"), F.lit(1))
     later = {
         "window_ratio": F.when(F.size("ws") <= WINDOW, F.size(F.array_distinct("ws"))).otherwise(F.size(F.array_distinct(F.transform("ws", lambda w, i: F.concat(F.floor(i / WINDOW).cast("string"), F.lit(" "), w))))) / n,
+        "full_line_dup_ratio": (F.size("fl") - F.size(F.array_distinct("fl"))) / F.greatest(F.size("fl"), F.lit(1)),
     }
     measured = parts.select(
         "id",
@@ -216,6 +221,7 @@ z AS (SELECT * REPLACE (CAST(fail_bits + {bits} AS BIGINT) AS fail_bits) FROM y)
 
 _LATER_MEASURES_SQL = {
     "window_ratio": f"len(list_distinct(list_transform(range(len(ws)), lambda i: concat(i // {WINDOW}, ' ', ws[i + 1])))) / greatest(len(ws), 1)",
+    "full_line_dup_ratio": r"(len(list_filter(ls, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) - len(list_distinct(list_filter(ls, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')))) / greatest(len(list_filter(ls, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')), 1)",
 }
 
 

@@ -93,3 +93,23 @@ def test_variety_does_not_fall_with_length(spark):
     assert got[0].window_ratio == pytest.approx(sum(len(set(words[i : i + rules.WINDOW])) for i in range(0, len(words), rules.WINDOW)) / len(words))
     assert not any(got[i].pass_v3 for i in (1, 2, 3, 4, 5, 6)) and all(got[i].fail_bits >> 11 & 1 for i in (1, 2, 3, 4))
     assert rules.accept(spark.createDataFrame([(" ".join(words),)], "text string").selectExpr("1 AS doc_id", "text")).count() == 1
+
+
+def test_blank_lines_are_no_repeats(spark):
+    paragraphs = [" ".join(prose(30 + i)) for i in range(40)]
+    got = judged(spark, ["\n\n".join(paragraphs), "\r\n \t\r\n".join(paragraphs), "\n\n".join(paragraphs[:4] * 5), "\n\n", "\n\n".join(["same line"] * 3 + ["other"])])
+    assert [got[i].pass_v4 for i in range(5)] == [True, True, False, False, False] and not got[0].pass_v2 and not got[0].pass_v3
+    assert [got[i].full_line_dup_ratio for i in range(5)] == pytest.approx([0, 0, 0.8, 0, 0.5])
+    assert rules.accept(spark.createDataFrame([(1, "\n\n".join(paragraphs))], "doc_id long, text string")).count() == 1
+
+
+def test_later_ledger_on_awkward_rows(spark, docs):
+    c = duckdb.connect()
+    data = docs.select("doc_id", "text").toArrow()
+    c.register("documents", data)
+    rel = c.sql(f"WITH {rules.later_ledger_sql()} SELECT * FROM z")
+    got = rules.later_ledger(docs)
+    assert sorted(rel.columns) == sorted(got.columns)
+    key = lambda r: (str(r[0]), r[1])
+    for a, b in zip(sorted((tuple(r[x] for x in rel.columns) for r in got.collect()), key=key), sorted(rel.fetchall(), key=key), strict=True):
+        assert a == pytest.approx(b)
