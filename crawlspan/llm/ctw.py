@@ -26,6 +26,8 @@ from crawlspan.llm import text as T
 from crawlspan.session import cut_lineage
 
 DEPTH = 4
+#: What a gram of eight bytes holds; contexts of this depth keep growing with the corpus.
+DEEPEST = 7
 #: A price table of up to this many bytes is broadcast; a larger one is joined, by groups of documents.
 BROADCAST_BYTES = 96 << 20
 GROUP_BYTES = 32 << 20
@@ -151,7 +153,7 @@ def _top(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """gram, bits: what its last byte costs after its other bytes, for every gram in `counts` (latest, gram, n), n = 0 included."""
-    if not 2 <= depth <= 7:
+    if not 2 <= depth <= DEEPEST:
         raise ValueError("depth must be from 2 to 7")
     placed = counts.repartition("latest").sortWithinPartitions("latest", "gram")
 

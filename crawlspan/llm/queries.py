@@ -83,7 +83,7 @@ def op4_simhash(spark, sf_dir):
 
 @query("op5_context_tree_weighting")
 def op5_context_tree_weighting(spark, sf_dir):
-    return ctw.score(table(spark, sf_dir, "documents"))
+    return ctw.score(table(spark, sf_dir, "documents"), depth=ctw.DEEPEST)
 
 
 @query("op6_token_counts")

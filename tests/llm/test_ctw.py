@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from crawlspan.llm import ctw as C
+from crawlspan.llm import queries
 
 
 def brute(corpus, texts, depth):
@@ -98,3 +99,11 @@ def test_awkward_rows(spark, docs):
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 7.5, 100.0, 12345.5, 1e9])
     assert C.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-10)
+
+
+def test_query_reads_contexts_of_seven_bytes(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.bits for r in queries.QUERIES["op5_context_tree_weighting"](spark, sf).collect()}
+    deep = {r.doc_id: r.bits for r in C.score(docs, depth=7).collect()}
+    assert got == pytest.approx(deep, rel=1e-6) and sum(got.values()) < 0.95 * sum(r.bits for r in C.score(docs, depth=4).collect())
