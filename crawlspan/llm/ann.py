@@ -1,13 +1,14 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Vectors are spread over lists around centroids. Centroids come from Lloyd
-rounds over all vectors, after each of which long lists are split and short
-ones dropped. A vector near a boundary stands in several lists. Centroids are
-the only thing held in memory: a neighbour graph over them is searched best
-first. A query reads all lists whose centroid is at most `probe_ratio` times as
-far as the nearest one, however many they are; lists and queries meet in two
-shuffles. The first is for the few nearest lists and gives each query a bound:
-from the others, only vectors within it come back.
+rounds over a bounded sample of the vectors, after each of which long lists are
+split and short ones dropped; every vector is then put into its list, one near
+a boundary into several. Centroids are the only thing held in memory: a
+neighbour graph over them is searched best first. A query reads all lists whose
+centroid is at most `probe_ratio` times as far as the nearest one, however many
+they are. Lists near each other form a shard, and a shard with many vectors
+several blocks: a query travels once to each block that holds one of its lists
+and brings back k neighbours.
 """
 
 from __future__ import annotations
@@ -18,23 +19,29 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlspan.session import cut_lineage
 
 #: Vectors a list should hold, before replicas.
 LIST_SIZE = 64
-#: Centroids take at most this many bytes in each worker; at more vectors, lists grow instead.
+#: Centroids take about this many bytes in each worker (up to three times as much after splits); at more vectors, lists grow instead.
 CENTROID_BYTES = 64 << 20
+#: Centroids are fitted on at most this many vectors a list, chosen by a hash of the id. All vectors are indexed.
+FIT_ROWS = 32
 ROUNDS = 4
 #: Lists a vector may stand in, and how much farther than the nearest their centroid may be.
 REPLICAS, CLOSURE = 4, 1.15
 #: A query reads the lists whose centroid is within this ratio of the nearest one's distance.
 PROBE_RATIO = 1.2
-#: Lists that it reads however far they are.
+#: Lists that it reads however far they are: a query that stands on a centroid has none within any ratio.
 LEAST_PROBES = 16
-DEGREE, BEAM = 24, 128
+#: Beams of the search for a vector's lists and for a query's nearest one.
+PLACE_BEAM, BEAM = 32, 128
+DEGREE = 24
+#: Lists in a shard, and vectors in a block of one.
+SHARD_LISTS, BLOCK_ROWS = 64, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -51,16 +58,40 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
 
 
+def cells(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of each point, the points that cells stand around): the nearest of n points taken at random."""
+    pivots = points[np.random.default_rng(5).choice(len(points), min(n, len(points)), replace=False)]
+    at = [squared(points[i : i + 4096], pivots).argmin(1) for i in range(0, len(points), 4096)]
+    return np.concatenate(at), pivots
+
+
 def graph(points: np.ndarray, degree: int = DEGREE) -> Graph:
-    """Each centroid linked to its nearest ones, both ways, and to a few at random that keep the graph connected."""
+    """Each centroid linked to its nearest ones in the 16 cells around it, and to a few at random that keep the graph connected.
+
+    There are about as many cells as members of one, so that the work grows
+    with n to the power of 1.5.
+    """
     n = len(points)
     rng = np.random.default_rng(7)
     near = min(degree, max(n - 1, 0))
     links = np.empty((n, near + 4), np.int32)
-    for i in range(0, n, 1024):
-        d = squared(points[i : i + 1024], points)
-        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        links[i : i + 1024, :near] = np.argpartition(d, near - 1, axis=1)[:, :near] if near else 0
+    cell, pivots = cells(points, max(1, int(np.sqrt(n))))
+    order = np.argsort(cell, kind="stable")
+    at = np.searchsorted(cell[order], np.arange(len(pivots) + 1))
+    reach = np.argsort(squared(pivots, pivots), axis=1, kind="stable")
+    for c in np.flatnonzero(np.diff(at)):
+        mine, around, have = order[at[c] : at[c + 1]], [], 0
+        for k, other in enumerate(reach[c]):
+            if k >= 16 and have > near:
+                break
+            around.append(order[at[other] : at[other + 1]])
+            have += len(around[-1])
+        around = np.concatenate(around)
+        for i in range(0, len(mine), 1024):
+            part = mine[i : i + 1024]
+            d = squared(points[part], points[around])
+            d[part[:, None] == around] = np.inf
+            links[part, :near] = around[np.argpartition(d, near - 1, axis=1)[:, :near]] if near else 0
     ring = rng.permutation(n)
     after = np.empty(n, np.int32)
     after[ring] = np.roll(ring, -1)  # one cycle through all centroids
@@ -141,12 +172,21 @@ def _clean(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     return rows.filter(finite & (F.size("v") == sizes["size"])).groupBy("id").agg(F.min("v").alias("v")), sizes["size"]
 
 
-def centroids(rows: DataFrame, dim: int, n: int, list_size: int = LIST_SIZE, rounds: int = ROUNDS) -> np.ndarray:
-    """Centroids of balanced lists over (id, v): Lloyd rounds on all rows, splitting lists of over twice the mean and dropping those under an eighth."""
+def centroids(rows: DataFrame, dim: int, n: int, list_size: int = LIST_SIZE, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids of balanced lists over (id, v), about how many of the n rows are nearest to each).
+
+    Lloyd rounds on FIT_ROWS rows a list, splitting lists of over twice the
+    mean and dropping those under an eighth.
+    """
     lists = int(max(1, min(-(-n // list_size), CENTROID_BYTES // (4 * dim))))
+    share = min(1.0, FIT_ROWS * lists / n)
+    if share < 1:
+        rows = cut_lineage(rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))))
+        n = rows.count()
     seeds = rows.orderBy(F.xxhash64("id"), "id").select("v").limit(lists).toArrow()["v"].combine_chunks()
     points = _matrix(seeds, dim)
     rng = np.random.default_rng(3)
+    held = np.ones(len(points))
     for _ in range(rounds):
         g = graph(points)
 
@@ -180,14 +220,14 @@ def centroids(rows: DataFrame, dim: int, n: int, list_size: int = LIST_SIZE, rou
         long = count > 2 * n / lists
         spread = np.sqrt(np.median(squared(mean, mean) + np.eye(len(mean)) * 1e9, axis=1, keepdims=True)) * 0.05 if len(mean) > 1 else np.full((1, 1), 1e-3)
         shift = rng.standard_normal(mean.shape).astype(np.float32) * (spread if spread.ndim == 2 else 1e-3)
-        points = np.unique(np.concatenate([mean[~long], (mean + shift)[long], (mean - shift)[long]]), axis=0).astype(np.float32)
-        points = points[: max(1, CENTROID_BYTES // (4 * dim))]
-    return points
+        points = np.concatenate([mean[~long], (mean + shift)[long], (mean - shift)[long]]).astype(np.float32)
+        held = np.concatenate([count[~long], count[long] / 2, count[long] / 2])
+    return points, held / share
 
 
 def _placed(g: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list): the nearest list of each vector, and the next ones within CLOSURE that no nearer chosen centroid makes needless."""
-    at, d = search(g, x, 2 * REPLICAS)
+    at, d = search(g, x, 2 * REPLICAS, PLACE_BEAM)
     keep = (at >= 0) & (d <= CLOSURE**2 * d[:, :1])
     keep[:, 0] = True
     for k in range(1, at.shape[1]):
@@ -202,99 +242,122 @@ def _placed(g: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, at[row, col]
 
 
-def neighbours(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", list_size: int = LIST_SIZE, probe_ratio: float = PROBE_RATIO) -> DataFrame:
-    """`key`, neighbour_id, rank, distance: about the k nearest other vectors of every vector, by Euclidean distance.
+def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, key: str = "vec_id", vector: str = "embedding", list_size: int = LIST_SIZE, probe_ratio: float = PROBE_RATIO) -> DataFrame:
+    """`key`, neighbour_id, rank, distance: about the k nearest other vectors of every query, by Euclidean distance.
 
-    Every vector is a query. Ties go to the smaller id. Rows with a NULL id, a
-    NULL, empty or non-finite vector, or one whose length isn't the commonest
-    (the shorter if two are) take no part; of rows that share an id the least
-    vector counts; with fewer than k others there are fewer rows; other columns
-    are ignored; an empty table gives no rows.
+    The ids of `queries` (all by default) are searched among all vectors. Ties
+    go to the smaller id. Rows with a NULL id, a NULL, empty or non-finite
+    vector, or one whose length isn't the commonest (the shorter if two are)
+    take no part; of rows that share an id the least vector counts; queries
+    without a vector have no rows; with fewer than k others there are fewer
+    rows; other columns are ignored; an empty table gives no rows.
     """
     rows, dim = _clean(vectors, key, vector)
     kind = vectors.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, neighbour_id {kind}, rank int, distance double"
     if not dim:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return vectors.sparkSession.createDataFrame([], f"`{key}` {kind}, neighbour_id {kind}, rank int, distance double")
     rows = cut_lineage(rows)
-    n = rows.count()
-    g = graph(centroids(rows, dim, n, list_size))
+    points, held = centroids(rows, dim, rows.count(), list_size)
+    g = graph(points)
+    shard = cells(points, -(-len(points) // SHARD_LISTS))[0]
+    blocks = np.maximum(1, np.ceil(np.bincount(shard, held) * 2 / BLOCK_ROWS)).astype(np.int64)  # lists hold some replicas
+    asked = rows if queries is None else rows.join(queries.select(F.col(key).alias("id")).distinct(), "id", "left_semi")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
+            x, salt = _matrix(batch.column(1), dim), batch.column(2).to_numpy()
             step = _step(g)
             for i in range(0, len(x), step):
-                part, rows_ = x[i : i + step], batch.slice(i, step)
-                yield _out(rows_, *_placed(g, part), False)
-                where, _ = search(g, part, LEAST_PROBES)
-                row, col = np.nonzero(where >= 0)
-                yield _out(rows_, row, where[row, col], True)
+                row, at = _placed(g, x[i : i + step])
+                pick = pa.array(row + i)
+                s = shard[at]
+                one = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32)), pa.array(at.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array((salt[row + i] % blocks[s]).astype(np.int32)), pa.array(np.zeros(len(at), bool)), one, batch.column(0).take(pick), batch.column(1).take(pick)], _BLOCK)
 
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim)
-            step = _step(g)
-            for i in range(0, len(x), step):
-                part, rows_ = x[i : i + step], batch.slice(i, step)
-                yield _out(rows_, *_placed(g, part), False)
-                for row, at in within(g, part, probe_ratio):
-                    for j in range(0, len(row), 1 << 14):
-                        yield _out(rows_, row[j : j + (1 << 14)], at[j : j + (1 << 14)], True)
-
-    def _out(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray, asks: bool) -> pa.RecordBatch:
-        pick = pa.array(row)
-        bound = batch.column(2).take(pick) if batch.num_columns > 2 else pa.nulls(len(row), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(row), asks)), batch.column(0).take(pick), batch.column(1).take(pick), bound], ["list", "asks", "id", "v", "bound"])
-
-    def scan(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
-        ids, x = table["id"].combine_chunks(), _matrix(table["v"].combine_chunks(), dim)
-        bound = table["bound"].fill_null(float("inf")).to_numpy()
-        member, query = np.flatnonzero(~asks), np.flatnonzero(asks)
-        rank = np.empty(len(ids), np.int64)  # order of ids, for ties
-        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-        same = pc.dictionary_encode(ids).indices.to_numpy()
-        member = member[np.argsort(rank[member])]
-        take = min(k + 1, len(member))
-        found: list[list[np.ndarray]] = []
-        if take and len(query):
-            for i in range(0, len(query), 2048):
-                q = query[i : i + 2048]
-                d = squared(x[q].astype(np.float64), x[member].astype(np.float64))
-                d[same[q][:, None] == same[member]] = np.inf
-                near = np.argsort(d, 1, kind="stable")[:, :k]
-                dist = np.take_along_axis(d, near, 1)
-                r, c = np.nonzero(np.isfinite(dist) & (dist <= bound[q][:, None]))
-                found.append([q[r], member[near[r, c]], dist[r, c]])
-        a, b, d = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(d)], ["q", "id", "d"])
-
-    def asked(placed: DataFrame) -> DataFrame:
-        return placed.groupBy("list").applyInArrow(scan, f"q {kind}, id {kind}, d double")
-
-    placed = f"list int, asks boolean, id {kind}, v array<float>, bound double"
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        table = pa.Table.from_batches(held) if held else None
-        if table is None or not table.num_rows:
-            return
-        # a replica stands in several lists, and a list is read in both passes: a pair counts once
-        table = table.take(pc.sort_indices(table, [("q", "ascending"), ("id", "ascending"), ("d", "ascending")])).combine_chunks()
-        q, i = (pc.dictionary_encode(table[c].combine_chunks()).indices.to_numpy() for c in ("q", "id"))
-        table = table.filter(pa.array(np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])))
-        table = table.take(pc.sort_indices(table, [("q", "ascending"), ("d", "ascending"), ("id", "ascending")])).combine_chunks()
-        q = pc.dictionary_encode(table["q"].combine_chunks()).indices.to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        keep = pa.array(rank < k)
-        table = table.filter(keep)
-        yield from pa.table([table["q"], table["id"], pa.array((rank[rank < k] + 1).astype(np.int32)), pc.sqrt(table["d"])], [key, "neighbour_id", "rank", "distance"]).to_batches()
-
-    first = cut_lineage(asked(rows.mapInArrow(near, placed)).repartition("q").mapInArrow(best, schema))
-    # a query that has k neighbours already takes no farther ones, but for rounding
-    bounds = first.filter(F.col("rank") == k).select(F.col(key).alias("id"), (F.col("distance") * F.col("distance") * (1 + 1e-6) + 1e-9).alias("bound"))
-    more = asked(rows.join(bounds, "id", "left").select("id", "v", "bound").mapInArrow(far, placed))
-    again = first.select(F.col(key).alias("q"), F.col("neighbour_id").alias("id"), (F.col("distance") * F.col("distance")).alias("d"))
-    return more.unionByName(again).repartition("q").mapInArrow(best, schema)
+            for i in range(0, len(x), 64):
+                least, _ = search(g, x[i : i + 64], LEAST_PROBES)
+                near = [(np.repeat(np.arange(len(least)), least.shape[1])[least.ravel() >= 0], least[least >= 0]), *within(g, x[i : i + 64], probe_ratio)]
+                row, at = np.divmod(np.unique(np.concatenate([r * len(g.points) + c for r, c in near])), len(g.points))
+                order = np.lexsort((at, shard[at], row))
+                row, at = row[order], at[order].astype(np.int32)
+                edge = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(shard[at]) != 0), [True]]))
+                s = shard[at[edge[:-1]]]
+                times = blocks[s]
+                lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(at)).take(pa.array(np.repeat(np.arange(len(s)), times)))
+                salt = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                pick = pa.array(np.repeat(row[edge[:-1]], times) + i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s, times).astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.ones(len(salt), bool)), lists, batch.column(0).take(pick), batch.column(1).take(pick)], _BLOCK)
+
+    schema = f"shard int, block int, asks boolean, lists array<int>, id {kind}, v array<float>"
+    placed = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt")).mapInArrow(place, schema)
+    met = placed.unionByName(asked.select("id", "v").mapInArrow(ask, schema)).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
+    found = met.mapInArrow(_scan(dim, k), f"q {kind}, id {kind}, d double").groupBy("q", "id").agg(F.min("d").alias("d"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))  # at most k rows of each block
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(key), F.col("id").alias("neighbour_id"), "rank", F.sqrt("d").alias("distance"))
+
+
+_BLOCK = ["shard", "block", "asks", "lists", "id", "v"]
+
+
+def _scan(dim: int, k: int):
+    """Over blocks, each one's vectors before its queries: the k nearest that a block has for each query. Queries pass by in slices."""
+
+    def answers(members: pa.Table, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, x, lists = members["id"].combine_chunks(), _matrix(members["v"].combine_chunks(), dim), members["lists"].combine_chunks().flatten().to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(lists) != 0, [True]]))
+        of = {int(lists[a]): (a, b) for a, b in zip(edge[:-1], edge[1:])}
+        step = max(1, min(512, (1 << 22) // len(x)))
+        for i in range(0, queries.num_rows, step):
+            part = queries.slice(i, step)
+            q = _matrix(part.column(5), dim)
+            wanted = part.column(3).flatten().to_numpy()
+            row = np.repeat(np.arange(len(q)), np.diff(part.column(3).offsets.to_numpy()))
+            order = np.argsort(wanted, kind="stable")
+            wanted, row = wanted[order], row[order]
+            d = np.full((len(q), len(x)), np.inf, np.float32)
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(wanted) != 0, [True]]))
+            for a, b in zip(cut[:-1], cut[1:]):
+                low, high = of.get(int(wanted[a]), (0, 0))
+                if high > low:
+                    d[row[a:b], low:high] = squared(q[row[a:b]], x[low:high])
+            # a vector may stand in several lists of a block, and a query is no neighbour of its own
+            few = min(REPLICAS * (k + 1), len(x)) - 1
+            last = np.partition(d, few, axis=1)[:, few]
+            r, c = np.nonzero((d <= last[:, None] * np.float32(1.0001) + np.float32(1e-4)) & np.isfinite(d))
+            exact = ((q[r].astype(np.float64) - x[c]) ** 2).sum(1)
+            both = pc.dictionary_encode(pa.chunked_array([ids, part.column(4)])).combine_chunks().indices.to_numpy()
+            mine, other = both[len(ids) + r], both[c]
+            rank = np.empty(len(ids), np.int64)
+            rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            keep = np.flatnonzero(mine != other)
+            keep = keep[np.lexsort((rank[c[keep]], exact[keep], r[keep]))]
+            # a copy of a pair stands right behind it: equal distance, equal id
+            keep = keep[np.concatenate([[True], (np.diff(r[keep]) != 0) | (np.diff(other[keep]) != 0)])] if len(keep) else keep
+            first = np.flatnonzero(np.concatenate([[True], np.diff(r[keep]) != 0])) if len(keep) else keep
+            keep = keep[np.arange(len(keep)) - np.repeat(first, np.diff(np.append(first, len(keep)))) < k]
+            yield pa.RecordBatch.from_arrays([part.column(4).take(pa.array(r[keep])), ids.take(pa.array(c[keep])), pa.array(exact[keep])], ["q", "id", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, table = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name = np.stack([batch.column(j).cast(pa.int64()).to_numpy(zero_copy_only=False) for j in range(3)], 1)
+            edge = np.flatnonzero(np.concatenate([[True], (np.diff(name, axis=0) != 0).any(1), [True]]))
+            for a, b in zip(edge[:-1], edge[1:]):
+                part, block = batch.slice(a, b - a), tuple(name[a, :2])
+                if block != now:
+                    now, held, table = block, [], None
+                if not name[a, 2]:
+                    held.append(part)
+                elif held:
+                    if table is None:
+                        table = pa.Table.from_batches(held).combine_chunks()
+                        first = table["lists"].combine_chunks().flatten()
+                        table = table.take(pc.sort_indices(first)).combine_chunks()
+                    yield from answers(table, part)
+
+    return run
