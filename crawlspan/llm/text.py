@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes that belong to words: ASCII letters and digits, and all bytes of other scripts.
 WORD = np.zeros(256, bool)
@@ -129,6 +130,11 @@ def codepoints(raw: np.ndarray, lead: np.ndarray) -> np.ndarray:
     return code
 
 
+def schema(ddl: str, **first: DataType) -> StructType:
+    """The columns of `ddl`, then those of given types, whose names and inner names may hold any character."""
+    return StructType([*StructType.fromDDL(ddl).fields, *(StructField(name, kind) for name, kind in first.items())])
+
+
 def keyed(batches: Iterator[pa.RecordBatch], limit: int = 1 << 24) -> Iterator[pa.Table]:
     """Tables of whole keys (first column, sorted), of about `limit` bytes or one key."""
     held: list[pa.RecordBatch] = []
