@@ -6,6 +6,7 @@ for a whole slice of a batch at once. A NULL text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,11 +58,11 @@ _cache: dict[str, np.ndarray] = {"p": np.ones(0, np.uint64), "q": np.ones(0, np.
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, kept between calls up to a few MB."""
+    """Powers of the hash base and of its inverse, kept between calls up to 16 MB."""
     if len(_cache["p"]) < n:
         with np.errstate(over="ignore"):
             p, q = _powers(n, _BASE), _powers(n, _BASE_INV)
-        if n > 1 << 22:
+        if n > 1 << 20:
             return p, q
         _cache["p"], _cache["q"] = p, q
     return _cache["p"][:n], _cache["q"][:n]
@@ -135,6 +136,20 @@ def schema(ddl: str, **first: DataType) -> StructType:
     return StructType([*StructType.fromDDL(ddl).fields, *(StructField(name, kind) for name, kind in first.items())])
 
 
+def tidy(run):
+    """`run` over batches, after which the worker's freed memory goes back to the system: workers live on into later stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return tidied
+
+
 def keyed(batches: Iterator[pa.RecordBatch], limit: int = 1 << 24) -> Iterator[pa.Table]:
     """Tables of whole keys (first column, sorted), of about `limit` bytes or one key."""
     held: list[pa.RecordBatch] = []

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from crawlspan.llm import text as T
+from crawlspan.session import cut_lineage
 
 ORDERS = (3, 4, 5)
 BITS = 22
@@ -79,8 +81,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     N-gram counts are summed by executors; the driver gets those n-grams alone
     whose shares among toxic and clean texts differ by `least_z` standard
     errors and by a factor of `least_ratio`, and for each training text the ones
-    of them that it holds. Several
-    labels of one id count as their maximum; labels without a document, and NULL
+    of them that it holds. Of n training texts no n-gram can reach more than
+    sqrt(n) standard errors, so that of under 100 texts half of that is asked.
+    The training texts are read from `docs` once and kept in the shared folder.
+    Several labels of one id count as their maximum; labels without a document, and NULL
     labels, don't count. Without both classes the model has no features and
     rejects nothing.
     """
@@ -98,17 +102,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(counts[0][k], pa.int64()), pa.array(counts[1][k], pa.int64())], ["bucket", "clean", "toxic"])
 
     # one row for each copy of a text would count a passage once for every copy
-    unique = rows.groupBy("_h").agg(F.max("_y").alias("_y"), F.first("_t").alias("_t")).select("_y", "_t")
-    unique = unique.repartition(8)
+    rows = rows.repartition(max(8, bound // 1000), "_h")
+    unique = cut_lineage(rows.groupBy("_h").agg(F.max("_y").alias("_y"), F.first("_t").alias("_t")).select("_y", "_t"))
     seen = {r.toxic: r.n for r in unique.groupBy((F.col("_y") != 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), -20.0)
     nt, nc = seen[True], seen[False]
-    summed = unique.mapInArrow(held, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    summed = unique.mapInArrow(T.tidy(held), "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     pool = (F.col("clean") + F.col("toxic")) / (nt + nc)
     z = (F.col("toxic") / nt - F.col("clean") / nc) / F.sqrt(pool * (1 - pool) * (1 / nt + 1 / nc))
     log_ratio = F.log((F.col("toxic") + alpha) / (nt + alpha)) - F.log((F.col("clean") + alpha) / (nc + alpha))
-    chosen = summed.filter(pool < 1).filter(F.abs(z) >= least_z).select("bucket", log_ratio.alias("ratio")).filter(F.abs("ratio") >= float(np.log(least_ratio))).toArrow().sort_by("bucket")
+    chosen = summed.filter(pool < 1).filter(F.abs(z) >= min(least_z, 0.5 * float(np.sqrt(nt + nc)))).select("bucket", log_ratio.alias("ratio")).filter(F.abs("ratio") >= float(np.log(least_ratio))).toArrow().sort_by("bucket")
     if not chosen.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), -20.0)
     buckets, ratio = chosen["bucket"].to_numpy().astype(np.int64), chosen["ratio"].to_numpy()
@@ -124,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["y", "f"])
 
-    got = unique.mapInArrow(present, "y int, f array<int>").toArrow().combine_chunks()
+    got = unique.mapInArrow(T.tidy(present), "y int, f array<int>").toArrow().combine_chunks()
     y = (got["y"].to_numpy() != 0).astype(float)
     lists = got["f"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
@@ -174,8 +178,8 @@ def scores(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     rows and ids are scored each; a NULL id stays NULL; other columns are
     ignored; an empty table gives no rows.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.lower(F.col(text)).alias("_t")).mapInArrow(_scorer(model, key, bits), f"`{key}` {kind}, toxicity double")
+    schema = StructType([StructField(key, docs.schema[key].dataType), StructField("toxicity", DoubleType())])
+    return docs.select(F.col(key), F.lower(F.col(text)).alias("_t")).mapInArrow(T.tidy(_scorer(model, key, bits)), schema)
 
 
 def _scorer(model: Model, key: str, bits: int = BITS):
@@ -203,7 +207,8 @@ def toxic(docs: DataFrame, model: Model, threshold: float = 0.35, text: str = "t
 def accept(docs: DataFrame, model: Model, threshold: float = 0.35, text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns as they were, below `threshold`. NULL and empty texts stay.
 
-    The score is taken beside the row, so nothing is joined or shuffled.
+    Each row is judged by itself, repeated rows and NULL ids too; columns may
+    have any name and type; an empty table stays empty. The score is taken beside the row, so nothing is joined or shuffled.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
     return scores(row, model, "_text", "_row").filter(F.col("toxicity") < threshold).select("_row.*")
