@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from crawlspan.llm import pieces
+from crawlspan.llm import text as T
 from crawlspan.session import shared_dir
 
-_CHUNK = "part int, at long, n long, tokens binary, head binary, tail binary, keys array<long>, sizes array<int>"
-_WINDOW = "window_id long, pos int, tokens array<int>, doc_ids array<long>, doc_starts array<long>, starts array<int>, lengths array<int>"
+_CHUNK = "part int, at long, n long, tokens binary, head binary, tail binary, sizes array<int>"
+_WINDOW = "window_id long, pos int, tokens array<int>, doc_starts array<long>, starts array<int>, lengths array<int>"
 
 
 def _chunks(width: int, path: str, eos: int):
@@ -38,8 +40,8 @@ def _chunks(width: int, path: str, eos: int):
             row = [[part], [at], [len(stream)], *([x] for x in raw)]
             columns = [pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
             one = pa.array([0, len(sizes)], pa.int32())
-            columns += [pa.ListArray.from_arrays(one, batch.column(0).cast(pa.int64())), pa.ListArray.from_arrays(one, pa.array(sizes, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "at", "n", "tokens", "head", "tail", "keys", "sizes"])
+            columns += [pa.ListArray.from_arrays(one, pa.array(sizes, pa.int32())), pa.ListArray.from_arrays(one, batch.column(0))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "at", "n", "tokens", "head", "tail", "sizes", "keys"])
             at += len(stream)
 
     return run
@@ -63,12 +65,12 @@ def _rows(stream: np.ndarray, low: int, high: int, keys: np.ndarray, sizes: np.n
         pa.array((base + cuts) // width, pa.int64()),
         pa.array((base + cuts) % width, ints),
         pa.ListArray.from_arrays(pa.array(np.append(cuts - low, high - low).astype(np.int32)), pa.array(stream.astype(np.int32))),
-        lists(keys.take(pa.array(doc))),
         lists(pa.array(seg - begins[doc], pa.int64())),
         lists(pa.array((base + seg) % width, ints)),
         lists(pa.array(seg_end - seg, ints)),
+        lists(keys.take(pa.array(doc))),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["window_id", "pos", "tokens", "doc_ids", "doc_starts", "starts", "lengths"])
+    return pa.RecordBatch.from_arrays(columns, ["window_id", "pos", "tokens", "doc_starts", "starts", "lengths", "doc_ids"])
 
 
 def _cut(width: int, bases: np.ndarray, kind: type, edges: bool):
@@ -107,22 +109,25 @@ def pack(docs: DataFrame, width: int = 2048, text: str = "text", key: str = "doc
 
     NULL and empty texts give a lone `eos`; a document longer than a window
     spans several; repeated rows and ids are packed each; a NULL id stays NULL
-    in its records; ids are BIGINT; other columns are ignored; an empty table
-    gives no windows. Rereading the kept chunks, not re-encoding, is what a lost
-    executor costs.
+    in its records; ids keep their type; other columns are ignored; an empty
+    table gives no windows. Rereading the kept chunks, not re-encoding, is what a
+    lost executor costs; they stay in `packing-*` of the shared folder, since the
+    result reads them.
     """
     spark = docs.sparkSession
     place = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
-    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    source.mapInArrow(_chunks(width, path, eos), _CHUNK).write.parquet(place)
-    chunks = spark.read.schema(_CHUNK).parquet(place)
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    ids = ArrayType(docs.schema[key].dataType)
+    stored, window = T.schema(_CHUNK, keys=ids), T.schema(_WINDOW, doc_ids=ids)
+    source.mapInArrow(T.tidy(_chunks(width, path, eos)), stored).write.parquet(place)
+    chunks = spark.read.schema(stored).parquet(place)
     totals = {r.part: r.n for r in chunks.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row a partition
     parts = max(totals, default=-1) + 1
     sizes = np.array([totals.get(p, 0) for p in range(parts)], np.int64)
     bases = np.concatenate([[0], np.cumsum(sizes)])[:-1] if parts else sizes
     kind = np.uint16 if pieces.model(path).size <= 1 << 16 else np.uint32
-    whole = chunks.select("part", "at", "n", "tokens", "keys", "sizes").mapInArrow(_cut(width, bases, kind, False), _WINDOW)
-    edge = chunks.select("part", "at", "n", "head", "tail", "keys", "sizes").mapInArrow(_cut(width, bases, kind, True), _WINDOW)
+    whole = chunks.select("part", "at", "n", "tokens", "keys", "sizes").mapInArrow(T.tidy(_cut(width, bases, kind, False)), window)
+    edge = chunks.select("part", "at", "n", "head", "tail", "keys", "sizes").mapInArrow(T.tidy(_cut(width, bases, kind, True)), window)
     lists = ["tokens", "doc_ids", "doc_starts", "starts", "lengths"]
     parts_of = F.sort_array(F.collect_list(F.struct("pos", *lists)))
     merged = edge.groupBy("window_id").agg(parts_of.alias("p")).select("window_id", *[F.flatten(F.col(f"p.{c}")).alias(c) for c in lists])

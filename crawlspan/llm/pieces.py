@@ -14,6 +14,7 @@ leftmost occurrence of each word alone.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,11 @@ from crawlspan.llm import text as T
 #: Where the vocabulary lies unless a caller names another file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Bytes of text that are encoded at once; a longer text is one slice.
+SLICE = 1 << 19
+#: Words beyond this many bytes are told apart by a cryptographic hash: long texts that collide under a polynomial one can be made up.
+LONG_WORD = 255
+
 _NONE = np.int32(1 << 30)
 
 
@@ -239,6 +245,8 @@ class PieceModel:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(body))
         keys = T.span_hashes(body, starts, ends)
+        for k in np.flatnonzero(ends - starts > LONG_WORD):
+            keys[k] = int.from_bytes(hashlib.blake2b(body[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.seen) > 400_000:
             self._forget()
@@ -320,7 +328,7 @@ def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return T.flat(column)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For slices of batches (id, text): the slice, ids and offsets."""
     m = model(path)
     for batch in batches:
@@ -338,17 +346,17 @@ def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
         m = model(path)
         for batch in batches:
             body, offsets = _plain(batch.column(1))
-            for i, j in T.slices(offsets, 1 << 22):
+            for i, j in T.slices(offsets, SLICE):
                 _, at = m.encode(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], counts_only=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64())], [key, "n_tokens"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long")
+    return docs.select(key, text).mapInArrow(T.tidy(run), f"`{key}` {kind}, n_tokens long")
 
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL) -> DataFrame:
     """`key`, tokens (ARRAY<INT>), n_tokens for every row; equal to the public library's ids.
 
-    Narrow: no shuffle, one Arrow pass, memory bounded by slices of 4 MB (a
+    Narrow: no shuffle, one Arrow pass, memory bounded by slices of half a MB (a
     longer text is one slice). Repeated rows and ids are encoded each on its
     own; NULL and empty texts have no tokens; a NULL id stays NULL; further
     columns are ignored; an empty table gives an empty result.
@@ -360,7 +368,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
             tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens, pa.array(np.diff(at), pa.int64())], [key, "tokens", "n_tokens"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens array<int>, n_tokens long")
+    return docs.select(key, text).mapInArrow(T.tidy(run), f"`{key}` {kind}, tokens array<int>, n_tokens long")
 
 
 def decode(rows: DataFrame, tokens: str = "tokens", key: str = "doc_id", path: str = MODEL) -> DataFrame:
@@ -378,7 +386,7 @@ def decode(rows: DataFrame, tokens: str = "tokens", key: str = "doc_id", path: s
             values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), m.decode(values, at - at[0]).cast(pa.string())], [key, "text"])
 
-    return rows.select(key, tokens).mapInArrow(run, f"`{key}` {kind}, text string")
+    return rows.select(key, tokens).mapInArrow(T.tidy(run), f"`{key}` {kind}, text string")
 
 
 def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL) -> DataFrame:
@@ -394,4 +402,4 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
             same = pc.equal(m.decode(ids, at), batch.column(1).fill_null("").cast(pa.large_string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens, pa.array(np.diff(at), pa.int64()), same], [key, "tokens", "n_tokens", "exact"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens array<int>, n_tokens long, exact boolean")
+    return docs.select(key, text).mapInArrow(T.tidy(run), f"`{key}` {kind}, tokens array<int>, n_tokens long, exact boolean")

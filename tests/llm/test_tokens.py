@@ -91,3 +91,17 @@ def test_packing_is_concatenate_and_cut(docs, library, width):
 
 def test_packing_of_nothing(docs):
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_string_ids_are_packed(spark, library):
+    docs = spark.createDataFrame([("a-1", "some words"), (None, "other words"), ("b", None)], "doc_id string, text string").coalesce(1)
+    (row,) = packing.pack(docs).collect()
+    assert row.doc_ids == ["a-1", None, "b"] and row.n_tokens == sum(len(library.encode(t)) + 1 for t in ("some words", "other words", ""))
+
+
+def test_long_words_that_collide(spark, library):
+    """Thue-Morse words of 2,048 letters have one hash under any polynomial modulo 2 ** 64."""
+    t = [bin(i).count("1") & 1 for i in range(2048)]
+    a, b = "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.tokens for r in pieces.encode(docs).collect()} == {1: library.encode(a), 2: library.encode(b)}
