@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from crawlspan.llm import text as T
 from crawlspan.session import cut_lineage
@@ -29,7 +30,9 @@ DEPTH = 4
 #: What a gram of eight bytes holds; contexts of this depth keep growing with the corpus.
 DEEPEST = 7
 #: A price table of up to this many bytes is broadcast; a larger one is joined, by groups of documents.
-BROADCAST_BYTES = 96 << 20
+BROADCAST_BYTES = 32 << 20
+#: Bytes of grams whose trees are built at once, if their latest bytes aren't all the same.
+TREE_BYTES = 1 << 20
 GROUP_BYTES = 32 << 20
 
 _HALF = float(np.log(0.5))
@@ -45,9 +48,20 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
+_FEW = np.arange(4096.0)
+_HALVES, _WHOLES = log_gamma(_FEW + 0.5), log_gamma(_FEW + 1.0)
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """log probability of any sequence with these counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - float(np.log(np.pi))
+    """log probability of any sequence with these counts, which are whole numbers; small ones are looked up."""
+    n = zeros + ones
+    few = n < len(_FEW)
+    out = np.empty(n.shape)
+    z, o = zeros[few].astype(np.int64), ones[few].astype(np.int64)
+    out[few] = _HALVES[z] + _HALVES[o] - _WHOLES[z + o]
+    z, o = zeros[~few], ones[~few]
+    out[~few] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1.0)
+    return out - float(np.log(np.pi))
 
 
 def grams(body: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
@@ -92,7 +106,7 @@ def gram_counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> Data
             k = key[i : i + (1 << 17)]
             yield pa.RecordBatch.from_arrays([pa.array(((k >> 8) & 0xFFFF).astype(np.int32)), pa.array(k), pa.array(n[i : i + (1 << 17)])], ["latest", "gram", "n"])
 
-    rows = docs.select(F.col(text)).mapInArrow(run, "latest int, gram long, n long")
+    rows = docs.select(F.col(text)).mapInArrow(T.tidy(run), "latest int, gram long, n long")
     return rows.groupBy("latest", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -159,7 +173,7 @@ def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, 256, 256))
-        for table in T.keyed(batches, 1 << 22):
+        for table in T.keyed(batches, TREE_BYTES):
             t = _Trees(table["gram"].to_numpy(), table["n"].to_numpy(), depth)
             where = (((t.keys >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64), (t.keys & np.uint64(0xFF)).astype(np.int64))
             for k, c in enumerate((t.zeros, t.ones, t.weighted)):
@@ -167,12 +181,12 @@ def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         some = np.nonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some[0].astype(np.int32)), pa.array(some[1].astype(np.int32)), *(pa.array(total[k][some]) for k in range(3))], ["byte", "node", "zeros", "ones", "below"])
 
-    top = placed.mapInArrow(sums, "byte int, node int, zeros double, ones double, below double")
+    top = placed.mapInArrow(T.tidy(sums), "byte int, node int, zeros double, ones double, below double")
     top = top.groupBy("byte", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
     kt1, share1, kt0, share0, _ = _top(top.toArrow())  # at most 256 * 255 rows
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in T.keyed(batches, 1 << 22):
+        for table in T.keyed(batches, TREE_BYTES):
             gram = table["gram"].to_numpy()
             t = _Trees(gram, table["n"].to_numpy(), depth)
             p, byte = t.predicted(), np.repeat((gram >> 8) & 0xFF, 8)
@@ -180,7 +194,7 @@ def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
                 p = share * np.where(t.bit == 1, 1 - kt, kt) + (1 - share) * p
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(-np.log2(p).reshape(-1, 8).sum(1))], ["gram", "bits"])
 
-    return placed.mapInArrow(cost, "gram long, bits double")
+    return placed.mapInArrow(T.tidy(cost), "gram long, bits double")
 
 
 class _Prices:
@@ -228,7 +242,8 @@ _held: dict[int, _Prices] = {}
 def score(docs: DataFrame, corpus: DataFrame | None = None, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
     """`key`, n_bytes, bits, bits_per_byte of every row of `docs`, under the counts of `corpus` (`docs` itself by default).
 
-    Whole texts are gathered and scored, as UTF-8. NULL and empty texts have 0
+    Whole texts are gathered and scored, as UTF-8, long ones too; with `docs` as
+    the corpus a text's own bytes are among the counts that price it. NULL and empty texts have 0
     bytes, 0 bits and NULL bits_per_byte; repeated rows count and are scored
     each; a NULL id stays NULL; other columns are ignored; empty tables give no
     rows, and with an empty corpus each bit costs one bit. Grams of `docs` that
@@ -239,8 +254,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, text: str = "text",
         asked = gram_counts(docs, text, depth).withColumn("n", F.lit(0).cast("long"))
         counts = counts.unionByName(asked).groupBy("latest", "gram").agg(F.sum("n").alias("n"))
     priced = cut_lineage(prices(cut_lineage(counts), depth))
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_bytes long, bits double"
+    schema = StructType([StructField(key, docs.schema[key].dataType), StructField("n_bytes", LongType()), StructField("bits", DoubleType())])
     rows = docs.select(F.col(key), F.col(text).alias("_text"))
     if priced.count() * 12 <= BROADCAST_BYTES:
         got = priced.toArrow()
