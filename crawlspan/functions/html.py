@@ -7,6 +7,7 @@ and raw script or style text don't upset it. Entities are resolved.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 from urllib.parse import urljoin
 
@@ -14,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+from crawlspan.session import ship_active
+
+_NAME = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_RAW = re.compile(r"<(script|style)\b", re.I)
+_RAW_END = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
+_SPECIAL = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data dfn em font i img input kbd label mark q s samp select small span strike strong sub sup time tt u var".split())
 _SPACE = re.compile(r"\s+")
@@ -43,12 +47,65 @@ def attributes(body: str) -> dict[str, str]:
     return out
 
 
+class _Closes:
+    """Where a tag ends whose text behind the name begins at a place: the first > outside quotes, or -1.
+
+    Tags are matched one by one until one has no end; from then on the answers
+    for the whole page are worked out once, from its end to its begin, so that a
+    page of unclosed tags takes linear time.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.at, self.close = html, None, []
+
+    def __call__(self, i: int) -> int:
+        if self.at is None:
+            if m := _REST.match(self.html, i):
+                return m.end() - 1
+            self._prepare()
+        k = bisect_left(self.at, i)
+        return self.close[k] if k < len(self.at) else -1
+
+    def _prepare(self) -> None:
+        self.at = [m.start() for m in _SPECIAL.finditer(self.html)]
+        self.close = [-1] * (len(self.at) + 1)
+        later: dict[str, int] = {}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = self.html[self.at[k]]
+            if c == ">":
+                self.close[k] = self.at[k]
+            else:
+                self.close[k] = self.close[later[c] + 1] if c in later else -1
+                later[c] = k
+
+
 def scan(html: str):
-    """(tag, closing, attribute text, text before it) in document order; at the end tag is ''."""
-    at = 0
-    for m in _TAG.finditer(html):
-        yield (m[3] or m[1] or "!").lower(), m[2] == "/", m[4] or "", html[at : m.start()]
-        at = m.end()
+    """(tag, closing, attribute text, text before it) in document order; at the end tag is ''. One pass over the text."""
+    at = pos = 0
+    last, ends = html.rfind(">"), _Closes(html)
+    while (i := html.find("<", pos)) >= 0:
+        tag, closing, body, end = "!", False, "", -1
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            end = len(html) if end < 0 else end + 3
+        elif i > last:  # no tag ends any more
+            if (i := html.find("<!--", i)) < 0:
+                break
+            end = len(html)
+        elif m := _RAW.match(html, i):
+            tag = m[1].lower()
+            found = _RAW_END[tag].search(html, html.find(">", i) + 1)
+            end = found.end() if found else len(html)
+        elif m := _NAME.match(html, i):
+            if (stop := ends(m.end())) >= 0:
+                tag, closing, body, end = m[2].lower(), m[1] == "/", html[m.end() : stop], stop + 1
+        elif html[i + 1 : i + 2] in ("!", "?"):
+            end = html.find(">", i) + 1
+        if end < 0:
+            pos = i + 1
+            continue
+        yield tag, closing, body, html[at:i]
+        at = pos = end
     yield "", False, "", html[at:]
 
 
@@ -136,6 +193,8 @@ def main_text_of(html: str | None, least_words: int = 10, most_links: float = 1
 
 
 def _udf(f, kind: str, arrow: pa.DataType):
+    ship_active()
+
     @F.arrow_udf(kind)
     def run(*columns: pa.Array) -> pa.Array:
         return pa.array([f(*row) for row in zip(*(c.to_pylist() for c in columns))], arrow)

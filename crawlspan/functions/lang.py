@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlspan.session import ship_active
+
 #: The first article of the Universal Declaration of Human Rights, with common words, by ISO code.
 SAMPLES = {
     "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. the of and to in is that it was for on with as be at by this had not but from have they which or were",
@@ -62,6 +64,7 @@ def train_profiles(texts: DataFrame, text: str = "text", lang: str = "lang", siz
 
 def detect_language(text: Column | str, profiles: dict[str, dict[str, int]] | None = None) -> Column:
     """ISO code of a text's language, '' for none."""
+    ship_active()
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:

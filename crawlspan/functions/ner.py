@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlspan.session import ship_active
+
 TYPES = ("PERSON", "ORGANIZATION", "LOCATION")
 
 #: A tagger gives (token, type) of each token of a text, sentence by sentence; type 'O' is none.
@@ -77,6 +79,7 @@ def entities(text: str | None, tagger: Tagger) -> dict[str, list[str]]:
 
 def classify(text: Column | str, tagger: Tagger | None = None) -> Column:
     """JSON object of the entities by type; empty lists for NULL."""
+    ship_active()
     tagger = tagger or rule_tagger()
 
     @F.arrow_udf("string")

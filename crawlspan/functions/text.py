@@ -60,10 +60,10 @@ def warc_mime(content: Column | str) -> Column:
 def image_bytes(content: Column | str) -> Column:
     """Bytes behind the header of a response, found in the bytes themselves; other content unchanged."""
     c = _c(content)
-    at = F.locate("0D0A0D0A", F.hex(c))
     hex_at = F.regexp_extract(F.hex(c), "^((?:..)*?)0D0A0D0A", 1)
+    ended = F.hex(c).rlike("^(?:..)*?0D0A0D0A")  # at whole bytes
     cut = F.length(hex_at) / 2 + 5
-    return F.when((F.hex(F.substring(c, 1, 5)) == "485454502F") & (at > 0), F.substring(c, cut.cast("int"), F.octet_length(c))).otherwise(c)
+    return F.when((F.hex(F.substring(c, 1, 5)) == "485454502F") & ended, F.substring(c, cut.cast("int"), F.octet_length(c))).otherwise(c)
 
 
 def excerpt(text: Column | str, mime: Column | str) -> Column:

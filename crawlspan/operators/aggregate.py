@@ -12,12 +12,12 @@ def count_items(df: DataFrame, *columns: str, name: str = "count") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).orderBy(F.desc(name), *keys)
 
 
-def links(records: DataFrame, base: str | None = "url") -> DataFrame:
-    """One row a link: crawl_date, src, dst, anchor. base: the column that relative links resolve against; None drops them."""
+def links(records: DataFrame, base: str | None = "url", also: tuple[str, ...] = ()) -> DataFrame:
+    """One row a link: crawl_date, further columns of the record, src, dst, anchor. base: the column that relative links resolve against; None drops them."""
     from crawlspan.functions.html import extract_links
 
     found = extract_links("url", "content", base)
-    return records.select("crawl_date", F.inline(found))
+    return records.select("crawl_date", *also, F.inline(found))
 
 
 def first_per_key(df: DataFrame, key: str, count: str, *first: str) -> DataFrame:
@@ -64,3 +64,14 @@ def top_subgraph(edges: DataFrame, n: int = 100, src: str = "src", dst: str = "d
     top = ends.groupBy("node").agg(F.count(F.lit(1)).alias("weight")).orderBy(F.desc("weight"), "node").limit(n).select("node")
     keep = edges.join(F.broadcast(top.withColumnRenamed("node", src)), src, "left_semi")  # n rows
     return keep.join(F.broadcast(top.withColumnRenamed("node", dst)), dst, "left_semi")
+
+
+def year_span(df: DataFrame, date: str) -> DataFrame:
+    """first_year, last_year of a DATE column: the ends of a time slider."""
+    return df.agg(F.year(F.min(date)).cast("long").alias("first_year"), F.year(F.max(date)).cast("long").alias("last_year"))
+
+
+def top_entities(df: DataFrame, n: int = 50) -> DataFrame:
+    """entity, freq of the `n` commonest entities of (entity) rows, ties by name, listed by name."""
+    counted = df.groupBy("entity").agg(F.count(F.lit(1)).alias("freq"))
+    return counted.orderBy(F.desc("freq"), "entity").limit(n).orderBy("entity")

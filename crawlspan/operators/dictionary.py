@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlspan.session import cut_lineage
@@ -68,3 +68,13 @@ def site_of(df: DataFrame, prefixes: DataFrame, url: str, name: str) -> DataFram
     keys = df.select(F.col(url).alias("_u")).distinct()
     best = prefix_candidates(keys, prefixes, "_u").groupBy("_u").agg(F.max(F.struct(F.length("prefix"), -F.col("prefix_id"))).alias("_b"))
     return df.join(best.select("_u", (-F.col("_b.col2")).alias(name)), F.col(url) == F.col("_u")).drop("_u")
+
+
+def save(ids: DataFrame, path: str) -> None:
+    """A dictionary (url, id) as parquet, in URL order within each file, so that look-ups and prefix searches skip row groups."""
+    ids.select("url", "id").sortWithinPartitions("url").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """url, id of a dictionary that `save` wrote."""
+    return spark.read.schema("url string, id bigint").parquet(path)

@@ -24,6 +24,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").cast("int").alias("in_degree"), F.sum("o").cast("int").alias("out_degree"))
 
 
+def node_weights(edges: DataFrame) -> DataFrame:
+    """node, weight: the number of edges at either end of each node."""
+    return degrees(edges).select("node", (F.col("in_degree") + F.col("out_degree")).cast("long").alias("weight"))
+
+
 def pagerank(edges: DataFrame, iterations: int = 20, tolerance: float | None = None, reset: float = 0.15, initial: float | None = None, every: int = 5) -> DataFrame:
     """node, page_rank over (src, dst) edges; repeated edges weigh more, ranks aren't normalised, sinks pass nothing on.
 
@@ -64,25 +69,26 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("crawl_date").alias("date"), "src", "dst").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _page_links(records: DataFrame, begin: str | None, end: str | None) -> DataFrame:
-    pages = keep_date_range(keep_mime_types(records, ["text/html"]), begin, end)
-    return links(pages, "url")
+def _page_links(records: DataFrame, begin: str | None, end: str | None, found: DataFrame | None = None) -> DataFrame:
+    """Links of HTML pages within the dates, parsed here unless the caller has them (with crawl_date and mime_type)."""
+    if found is not None:
+        return keep_date_range(keep_mime_types(found, ["text/html"]), begin, end).drop("mime_type")
+    return links(keep_date_range(keep_mime_types(records, ["text/html"]), begin, end), "url")
 
 
-def page_graph(records: DataFrame, ids: DataFrame, begin: str | None = None, end: str | None = None) -> DataFrame:
-    """src_id, dst_ids (distinct, ascending, joined by commas) of every known HTML page, '' without known links."""
+def page_graph(records: DataFrame, ids: DataFrame, begin: str | None = None, end: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """src_id, dst_ids (distinct, ascending, joined by commas) of every known HTML page, '' without known links. found: links parsed before, if any."""
     pages = keep_date_range(keep_mime_types(records, ["text/html"]), begin, end)
     known = pages.select("url").distinct().join(ids, "url").select("url", F.col("id").alias("src_id"))
-    to = links(pages, "url").select("src", "dst").distinct().join(ids.select(F.col("url").alias("dst"), F.col("id").alias("dst_id")), "dst")
+    to = _page_links(records, begin, end, found).select("src", "dst").distinct().join(ids.select(F.col("url").alias("dst"), F.col("id").alias("dst_id")), "dst")
     grouped = known.join(to, F.col("url") == F.col("src"), "left").groupBy("src_id").agg(F.array_sort(F.collect_set("dst_id")).alias("d"))
     return grouped.select("src_id", F.array_join(F.transform("d", lambda x: x.cast("string")), ",").alias("dst_ids"))
 
 
-def anchor_text(records: DataFrame, ids: DataFrame, begin: str | None = None, end: str | None = None) -> DataFrame:
-    """dst_id, src_id, anchor of every link between known pages, repeated ones too, grouped by target."""
-    found = _page_links(records, begin, end)
+def anchor_text(records: DataFrame, ids: DataFrame, begin: str | None = None, end: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """dst_id, src_id, anchor of every link between known pages, repeated ones too, grouped by target. found: links parsed before, if any."""
     named = lambda c: ids.select(F.col("url").alias(c), F.col("id").alias(f"{c}_id"))
-    both = found.join(named("src"), "src").join(named("dst"), "dst")
+    both = _page_links(records, begin, end, found).join(named("src"), "src").join(named("dst"), "dst")
     return both.select("dst_id", "src_id", "anchor").repartition("dst_id").sortWithinPartitions("dst_id", "src_id")
 
 

@@ -14,10 +14,8 @@ from crawlspan.operators.filters import keep_images, large_enough
 def popular_images(records: DataFrame, limit: int, min_width: int = 30, min_height: int = 30, content: str = "image_bytes") -> DataFrame:
     """url, count of the `limit` commonest images by content, with the least URL of each; ties by URL.
 
-    An image's size is read once for each content, not for each capture.
+    Sizes are read where the image lies, so that no image is shuffled.
     """
-    hashed = keep_images(records).select(md5_hex(content).alias("md5"), "url", F.col(content).alias("bytes"), F.lit(1).cast("long").alias("count"))
-    distinct = hashed.groupBy("md5").agg(F.first("bytes").alias("bytes"))
-    sized = large_enough(distinct.select("md5", F.inline(F.array(image_size("bytes")))), min_width, min_height)
-    counted = first_per_key(hashed.select("md5", "url", "count"), "md5", "count", "url")
-    return counted.join(sized, "md5").orderBy(F.desc("count"), "url").limit(limit).select("url", "count")
+    one = keep_images(records).select(md5_hex(content).alias("md5"), "url", F.lit(1).cast("long").alias("count"), F.inline(F.array(image_size(content))))
+    counted = first_per_key(large_enough(one, min_width, min_height), "md5", "count", "url")
+    return counted.orderBy(F.desc("count"), "url").limit(limit).select("url", "count")

@@ -68,21 +68,26 @@ _filter("keep_http", "url LIKE 'http://%'", ops.keep_http)
 _filter("keep_html_type", "mime_type = 'text/html'", lambda r: ops.keep_mime_types(r, ["text/html"]))
 
 
-@query("keep_urls", f"WITH {RECORDS_SQL} SELECT {_ROW} FROM records WHERE url IN (SELECT url FROM pages WHERE page_id < 50)")
-def keep_urls(spark, sf_dir):
+@query("keep_known_urls", f"WITH {RECORDS_SQL} SELECT {_ROW} FROM records WHERE url IN (SELECT url FROM pages WHERE regexp_matches(url, '#top$'))")
+def keep_known_urls(spark, sf_dir):
     r = records(spark, sf_dir)
-    return ops.keep_known(r, r.filter("page_id < 50")).select(*_ROW.split(", "))
+    return ops.keep_known(r, r.filter("url rlike '#top$'")).select(*_ROW.split(", "))
 
 
-@query("discard_urls", f"WITH {RECORDS_SQL} SELECT {_ROW} FROM records WHERE url NOT LIKE '%/en/%' OR url NOT LIKE 'https://www%'")
-def discard_urls(spark, sf_dir):
-    r = records(spark, sf_dir)
-    out = r.filter("url like '%/en/%' and url like 'https://www%'").select(F.col("url").alias("u"))
-    return r.join(out, F.col("url") == F.col("u"), "left_anti").select(*_ROW.split(", "))
+#: Addresses that may or may not stand in the tables: a list that becomes literals, and one that is joined.
+_ASKED = {
+    "few": (["https"], ["blog.tionsh.example.net"], ["#top"]),
+    "many": (["http", "https"], ["blog.tionsh.example.net", "thther.example.org", "ththre.example.com", "www.therti.example.org", "thther.example.com"], ["", "#top", ".html", "/"]),
+}
 
 
-@query("url_search", f"WITH {RECORDS_SQL} SELECT url, crawl_date, mime_type, length(content) AS size FROM records WHERE url = (SELECT min(url) FROM pages)")
-def url_search(spark, sf_dir):
-    r = records(spark, sf_dir)
-    first = r.agg(F.min("url").alias("url"))
-    return r.join(F.broadcast(first), "url").select("url", "crawl_date", "mime_type", F.length("content").cast("long").alias("size"))
+def _asked(name: str) -> list[str]:
+    schemes, hosts, endings = _ASKED[name]
+    return [f"{p}://{h}/en/{k}{e}" for p in schemes for h in hosts for k in range(1000) for e in endings]
+
+
+for _name, _parts in _ASKED.items():
+    _lists = ", ".join(f"(VALUES {', '.join(f'({v!r})' for v in values)}) {t}(v)" for t, values in zip("phe", _parts))
+    _set = f"(SELECT p.v || '://' || h.v || '/en/' || c.k || e.v FROM {_lists}, range(1000) c(k))"
+    _filter(f"keep_{_name}_urls", f"url IN {_set}", lambda r, n=_name: ops.keep_urls(r, _asked(n)))
+    _filter(f"discard_{_name}_urls", f"url NOT IN {_set}", lambda r, n=_name: ops.discard_urls(r, [*_asked(n), None]))

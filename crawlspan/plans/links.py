@@ -13,6 +13,7 @@ from crawlspan.operators import graph as G
 from crawlspan.plans.filters import VALID_SQL
 from crawlspan.plans.registry import query, table
 from crawlspan.plans.views import RECORDS_SQL, records
+from crawlspan.session import cut_lineage
 
 #: All links of the pages table are root-relative, so that a pattern can stand for the parser there.
 LINKS_SQL = f"""{RECORDS_SQL},
@@ -20,13 +21,13 @@ links AS (SELECT page_id, crawl_date, mime_type, url AS src, regexp_extract(url,
   FROM (SELECT *, unnest(regexp_extract_all(content, '<a [^>]*href="[^"]*"[^>]*>[^<]*<')) AS a FROM records)),
 ids AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS id FROM (SELECT DISTINCT url FROM pages)),
 prefixes AS (SELECT CAST(row_number() OVER (ORDER BY prefix) AS INTEGER) AS prefix_id, prefix FROM (
-  SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]*)', 1) AS prefix FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]*/[a-z]*)', 1) FROM pages WHERE page_id % 3 = 0))"""
+  SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]*)', 1) AS prefix FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]*/[a-z]*)', 1) FROM pages))"""
 
 
 def _prefixes(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     site = pages.select(F.regexp_extract("url", "^(https?://[^/?#]*)", 1).alias("prefix"))
-    part = pages.filter("page_id % 3 = 0").select(F.regexp_extract("url", "^(https?://[^/?#]*/[a-z]*)", 1).alias("prefix"))
+    part = pages.select(F.regexp_extract("url", "^(https?://[^/?#]*/[a-z]*)", 1).alias("prefix"))
     return D.url_ids(site.union(part), "prefix").select((F.col("id") + 1).cast("int").alias("prefix_id"), F.col("url").alias("prefix"))
 
 
@@ -35,9 +36,12 @@ def extract_links(spark, sf_dir):
     return A.links(records(spark, sf_dir))
 
 
-@query("links_without_base", f"WITH {LINKS_SQL} SELECT crawl_date, src, dst, anchor FROM links WHERE FALSE")
+@query("links_without_base", f"""WITH {LINKS_SQL} SELECT crawl_date, src, 'http://elsewhere.example' || regexp_extract(dst, '^https?://[^/?#]*(.*)$', 1) AS dst, anchor FROM (SELECT *, row_number() OVER () AS k FROM links) WHERE regexp_matches(src, '^https')""")
 def links_without_base(spark, sf_dir):
-    return A.links(records(spark, sf_dir), None)
+    """Links of https pages made absolute, those of the others left relative: without a base only the former are found."""
+    r = records(spark, sf_dir)
+    made = F.regexp_replace("content", '(<a [^>]*href=")/', "$1http://elsewhere.example/")
+    return A.links(r.withColumn("content", F.when(F.col("url").startswith("https"), made).otherwise(F.col("content"))), None)
 
 
 @query("image_links", "SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/logo.gif' AS image FROM pages")
@@ -46,7 +50,13 @@ def image_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(H.extract_image_links("url", html)).alias("image"))
 
 
-@query("page_text")
+#: Visible text by patterns: what stands for the parser on pages whose tags are whole.
+TEXT_SQL = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'),
+  '(?is)</?(a|abbr|b|big|cite|code|em|font|i|img|label|small|span|strong|sub|sup|tt|u)(\s[^>]*)?>', '', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)\s*>|<[^>]*>', ' ', 'g'),
+  '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\s\x{{a0}}]+', ' ', 'g'))""".replace("\\\\", "\\")
+
+
+@query("page_text", f"SELECT page_id, {TEXT_SQL.format(c='html')} AS text FROM pages")
 def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.remove_html("html").alias("text"))
 
@@ -165,8 +175,11 @@ def site_graph(spark, sf_dir):
 
 
 def _ids_with_targets(spark, sf_dir):
+    """Records, ids of all pages and targets, and the links, which are parsed once and written."""
     r = records(spark, sf_dir)
-    return r, D.url_ids(r.select("url").union(A.links(r).select("dst")))
+    found = cut_lineage(A.links(r.filter("mime_type = 'text/html'"), also=("mime_type",)))
+    every = cut_lineage(A.links(r.filter("mime_type IS DISTINCT FROM 'text/html'"), also=("mime_type",)).select("dst").distinct())
+    return r, D.url_ids(r.select("url").union(found.select("dst")).union(every)), found
 
 
 _ALL_IDS = "all_ids AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS id FROM (SELECT url FROM pages UNION SELECT dst FROM links))"
@@ -178,7 +191,8 @@ _ALL_IDS = "all_ids AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS id F
 FROM records JOIN all_ids s USING (url) LEFT JOIN links l ON l.src = records.url LEFT JOIN all_ids d ON l.dst = d.url WHERE records.mime_type = 'text/html' AND records.crawl_date BETWEEN '20080405' AND '20080520' GROUP BY 1""",
 )
 def page_graph(spark, sf_dir):
-    return G.page_graph(*_ids_with_targets(spark, sf_dir), "20080405", "20080520")
+    r, ids, found = _ids_with_targets(spark, sf_dir)
+    return G.page_graph(r, ids, "20080405", "20080520", found)
 
 
 @query(
@@ -187,7 +201,8 @@ def page_graph(spark, sf_dir):
 WHERE mime_type = 'text/html' AND crawl_date >= '20080405'""",
 )
 def anchor_text(spark, sf_dir):
-    return G.anchor_text(*_ids_with_targets(spark, sf_dir), begin="20080405")
+    r, ids, found = _ids_with_targets(spark, sf_dir)
+    return G.anchor_text(r, ids, begin="20080405", found=found)
 
 
 def trade(spark, sf_dir):
@@ -215,9 +230,30 @@ def trade_degrees(spark, sf_dir):
     return G.degrees(trade(spark, sf_dir))
 
 
-@query("domain_graph")
+_DOMAIN_EDGES = f"""d AS MATERIALIZED (SELECT {_DOMAIN("src")} AS src, {_DOMAIN("dst")} AS dst FROM links JOIN records USING (page_id, crawl_date) WHERE {VALID_SQL.replace('mime_type', 'records.mime_type')}
+  UNION ALL SELECT 'hub', {_DOMAIN("url")} FROM records WHERE {VALID_SQL} UNION ALL SELECT {_DOMAIN("url")}, 'hub' FROM records WHERE {VALID_SQL} AND url LIKE 'https%'),
+e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM d GROUP BY ALL),
+w AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM e),
+v AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), r0 AS (SELECT node, 0.15::DOUBLE AS r FROM v)"""
+
+
+@query(
+    "domain_graph",
+    f"""WITH {LINKS_SQL}, {_DOMAIN_EDGES}, {_ROUNDS} SELECT node AS domain, round(r, 6) AS page_rank, CAST(coalesce((SELECT sum(n) FROM e WHERE dst = node), 0) AS INTEGER) AS in_degree,
+  CAST(coalesce((SELECT sum(n) FROM e WHERE src = node), 0) AS INTEGER) AS out_degree FROM r20""",
+)
 def domain_graph(spark, sf_dir):
-    return G.extract_graph(records(spark, sf_dir))[0]
+    """The domain graph of pages that each also link to a hub page (https ones) or are linked from it."""
+    r = ops.keep_valid_pages(records(spark, sf_dir))
+    hub = r.select("crawl_date", F.lit("http://hub/index.html").alias("url"), F.lit("text/html").alias("mime_type"), F.concat(F.lit('<a href="'), "url", F.lit('">x</a>')).alias("content"))
+    back = F.when(F.col("url").startswith("https"), F.lit('<a href="http://hub/">x</a>')).otherwise(F.lit(""))
+    pages = r.select("crawl_date", "url", "mime_type", F.concat("content", back).alias("content")).unionByName(hub)
+    return G.extract_graph(pages)[0].withColumn("page_rank", F.round("page_rank", 6))
+
+
+@query("dynamic_pagerank", f"WITH {_TRADE.replace('0.15::DOUBLE', '1::DOUBLE')}, {_ROUNDS} SELECT node, round(r, 4) AS page_rank FROM r20")
+def dynamic_pagerank(spark, sf_dir):
+    return G.pagerank(trade(spark, sf_dir), tolerance=1e-6, initial=1.0).withColumn("page_rank", F.round("page_rank", 4))
 
 
 @query(
@@ -231,13 +267,12 @@ def top_subgraph(spark, sf_dir):
 
 @query("node_weights", f"WITH {_TRADE} SELECT node, CAST((SELECT coalesce(sum(n), 0) FROM e WHERE dst = node) + (SELECT coalesce(sum(n), 0) FROM e WHERE src = node) AS BIGINT) AS weight FROM v")
 def node_weights(spark, sf_dir):
-    d = G.degrees(trade(spark, sf_dir))
-    return d.select("node", (F.col("in_degree") + F.col("out_degree")).cast("long").alias("weight"))
+    return G.node_weights(trade(spark, sf_dir))
 
 
 @query("edge_years", "SELECT year(min(o_orderdate)) AS first_year, year(max(o_orderdate)) AS last_year FROM orders")
 def edge_years(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.year(F.min("o_orderdate")).cast("long").alias("first_year"), F.year(F.max("o_orderdate")).cast("long").alias("last_year"))
+    return A.year_span(table(spark, sf_dir, "orders"), "o_orderdate")
 
 
 _TOP = """c AS (SELECT strftime(o_orderdate, '%Y%m') AS month, o_custkey % 60 AS site FROM orders), t AS (SELECT site FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)"""
@@ -275,5 +310,4 @@ def entity_counts(spark, sf_dir):
 
 @query("top_entities", f"WITH {_ENT} SELECT entity, freq FROM (SELECT entity, count(*) AS freq FROM x WHERE ner_type = 'PERSON' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)")
 def top_entities(spark, sf_dir):
-    p = _entities(spark, sf_dir).filter("ner_type = 'PERSON'").groupBy("entity").agg(F.count(F.lit(1)).alias("freq"))
-    return p.orderBy(F.desc("freq"), "entity").limit(5).orderBy("entity")
+    return A.top_entities(_entities(spark, sf_dir).filter("ner_type = 'PERSON'"), 5)

@@ -33,4 +33,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from crawlspan.plans import filters, functions, links, store  # noqa: E402,F401
+from crawlspan.plans import crawl_files, filters, functions, links, store  # noqa: E402,F401

@@ -88,8 +88,9 @@ _TOKENS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambd
 
 @query("token_index", f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), c AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM c GROUP BY term")
 def token_index(spark, sf_dir):
-    x = I.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return x.select("term", "df", F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["tf"]).alias("tf"), F.col("postings")[0]["key"].alias("first_doc"), F.element_at("postings", -1)["key"].alias("last_doc"))
+    x = I.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text", block=64)
+    rows = x.select("term", "df", F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["tf"]).alias("tf"), F.col("postings")[0]["key"].alias("a"), F.element_at("postings", -1)["key"].alias("b"))
+    return rows.groupBy("term", "df").agg(F.sum("tf").alias("tf"), F.min("a").alias("first_doc"), F.max("b").alias("last_doc"))
 
 
 @query("token_search", f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT doc_id AS key, count(*) AS score FROM t WHERE term IN ('est', 'en') GROUP BY 1 HAVING count(DISTINCT term) = 2")
@@ -130,18 +131,6 @@ def popular_images(spark, sf_dir):
     return images.popular_images(_images(spark, sf_dir), 5)
 
 
-@query("dated_page_texts")
-def dated_page_texts(spark, sf_dir):
-    r = K.discard_date(K.keep_mime_types(records(spark, sf_dir), ["text/html"]), None)
-    return r.select("crawl_date", H.remove_html(X.remove_http_header("content")).alias("text"))
-
-
-@query("document_languages")
-def document_languages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", lang.detect_language(F.col("text"), lang.train_profiles(docs)).alias("detected"), "lang")
-
-
 @query("page_entities")
 def page_entities(spark, sf_dir):
     r = records(spark, sf_dir).filter("crawl_date IS NOT NULL")
@@ -162,11 +151,6 @@ def gdf_lines(spark, sf_dir):
     return sinks.gdf_lines(e)
 
 
-@query("found_urls", f"WITH {RECORDS_SQL} SELECT url, mime_type, crawl_date FROM records WHERE regexp_full_match(url, 'https://blog[.].*html')")
-def found_urls(spark, sf_dir):
-    return K.keep_url_patterns(records(spark, sf_dir), ["https://blog[.].*html"]).select("url", "mime_type", "crawl_date")
-
-
 @query("event_days", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1")
 def event_days(spark, sf_dir):
     from crawlspan.streaming.crawl import pages_by_day

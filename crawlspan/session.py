@@ -54,6 +54,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_active() -> None:
+    """`ship` for the session that is active here, if any: what makes functions that run on executors calls it."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 

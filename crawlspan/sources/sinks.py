@@ -23,13 +23,21 @@ def gdf_lines(edges: DataFrame, src: str = "src", dst: str = "dst", count: str =
 
 
 def write_gdf(edges: DataFrame, path: str, **columns: str) -> None:
-    """One GDF file at a local path, streamed through the driver; nothing for an empty path."""
+    """One GDF file on any file system, streamed through the driver; nothing for an empty path."""
     if not path:
         return
     ordered = gdf_lines(edges, **columns).orderBy("part", "line").select("line")
-    with open(path, "w", encoding="utf-8") as f:
+    with _file(path) as f:
         for row in ordered.toLocalIterator(prefetchPartitions=True):
-            f.write(row.line + "\n")
+            f.write(f"{row.line}\n".encode())
+
+
+def _file(path: str):
+    """A binary file to write, local or under a URI that pyarrow knows."""
+    from crawlspan.sources.archive import filesystem
+
+    system, inner = filesystem(path)
+    return system.open_output_stream(inner, compression=None)
 
 
 def tsv_to_gdf(spark, source: str, path: str) -> None:
@@ -47,27 +55,41 @@ def write_graph(vertices: DataFrame, edges: DataFrame, vertices_path: str, edges
 
 
 def write_json_array(df: DataFrame, path: str) -> int:
-    """All rows as one JSON array in a local file, streamed through the driver; their number."""
+    """All rows as one JSON array in one file, streamed through the driver; their number."""
     n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
+    with _file(path) as f:
+        f.write(b"[")
         for row in df.select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator(prefetchPartitions=True):
-            f.write((",\n" if n else "\n") + row.j)
+            f.write(((",\n" if n else "\n") + row.j).encode())
             n += 1
-        f.write("\n]\n")
+        f.write(b"\n]\n")
     return n
 
 
-def by_month(lines: DataFrame, date: Column | str, path: str) -> None:
-    """Lines (`value`) into a folder for each month of their date, yyyyMM."""
+def write_entities_json(triples: DataFrame, path: str, tagger=None) -> int:
+    """From (date, url, content) rows to one JSON array of {date, domain, ner: [{ner_type, entities: [{entity, freq}]}]}; its length."""
+    from crawlspan.functions.ner import entity_rows, extract_entities
+    from crawlspan.operators.aggregate import combine_entities
+
+    return write_json_array(combine_entities(entity_rows(extract_entities(triples, tagger))), path)
+
+
+def write_found(found: DataFrame, path: str) -> None:
+    """`(file url type date)` lines of `find_urls` rows."""
+    words = [F.coalesce(F.col(c), F.lit("null")) for c in ("file", "url", "mime_type", "crawl_date")]
+    found.select(F.concat(F.lit("("), F.concat_ws(" ", *words), F.lit(")")).alias("value")).write.mode("overwrite").text(path)
+
+
+def by_month(lines: DataFrame, date: Column | str, path: str, files: int = 8) -> None:
+    """Lines (`value`) into a folder for each month of their date, yyyyMM, of up to `files` files each, so that a large month isn't one task's."""
     month = F.substring(F.col(date) if isinstance(date, str) else date, 1, 6)
-    lines.select("value", month.alias("month")).repartition("month").write.mode("overwrite").partitionBy("month").text(path)
+    lines.select("value", month.alias("month")).repartition("month", F.pmod(F.xxhash64("value"), F.lit(files))).write.mode("overwrite").partitionBy("month").text(path)
 
 
-def entity_lists(lines: DataFrame, path: str, dated: bool = False) -> None:
-    """Entities of NER lines into a folder for each kind (pers, org, loc), and for each date if `dated`."""
+def entity_lists(lines: DataFrame, path: str, dated: bool = False, files: int = 8) -> None:
+    """Entities of NER lines into a folder for each kind (pers, org, loc), and for each date if `dated`, of up to `files` files each."""
     from crawlspan.functions.ner import split_lists
 
     rows = split_lists(lines)
     keys = ["date", "kind"] if dated else ["kind"]
-    rows.select(F.col("entity").alias("value"), *keys).write.mode("overwrite").partitionBy(*keys).text(path)
+    rows.select(F.col("entity").alias("value"), *keys).repartition(*keys, F.pmod(F.xxhash64("entity"), F.lit(files))).write.mode("overwrite").partitionBy(*keys).text(path)

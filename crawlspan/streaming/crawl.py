@@ -11,25 +11,20 @@ from pyspark.sql import functions as F
 
 from crawlspan.session import ship
 from crawlspan.sources import codec
-from crawlspan.sources.archive import SCHEMA
+from crawlspan.sources.archive import SCHEMA, record_batch
 
 
 def stream_archives(spark: SparkSession, path: str, pattern: str = "*arc*") -> DataFrame:
     """Raw crawl records of files as they come into a folder; each file is read whole in one task."""
     ship(spark)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    fields = ["file", "format", "record_type", "url", "ip", "crawl_ts", "mime_type", "length", "headers", "content"]
-    kinds = [pa.string()] * 5 + [pa.timestamp("us", "UTC"), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 records = codec.read(io.BufferedReader(io.BytesIO(data.as_py())))
-                while rows := [r for _, r in zip(range(256), records)]:
-                    body = [codec.http_body(r.content) if r.format == "ARC" else r.content for r in rows]
-                    columns = [[name] * len(rows), *([getattr(r, k) for r in rows] for k in ("format", "record_type", "url", "ip"))]
-                    columns += [[codec.instant(r.date) for r in rows], [r.mime for r in rows], [r.length for r in rows], [list(r.headers.items()) for r in rows], body]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], fields)
+                while rows := [(name, r) for _, r in zip(range(256), records)]:
+                    yield record_batch(rows)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 

@@ -155,3 +155,33 @@ def test_entities(spark):
     assert got == [("www.a.org", "LOCATION", "Paris"), ("www.a.org", "PERSON", "John Doe"), ("www.a.org", "PERSON", "John Doe")]
     lines = spark.createDataFrame([("20080430 http://a {PERSON=[A B, C], ORGANIZATION=[], LOCATION=[D]}",), ("x",)], "value string")
     assert sorted(tuple(r) for r in ner.split_lists(lines).collect()) == [("20080430", "loc", "D"), ("20080430", "pers", "A B"), ("20080430", "pers", "C")]
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '\"", "<b", "<!", "<a href='x", "<script", "<a b=\"c'>", "<style>x"])
+def test_unclosed_tags_take_linear_time(piece):
+    """A megabyte of them, with and without an end, in seconds; each tag alone took quadratic time before."""
+    import time
+
+    begin = time.perf_counter()
+    for end in ("", ">", '">', "'>x</a>"):
+        H.links_of("http://a/", piece * (250_000 // len(piece)) + end, "http://a/")
+    assert time.perf_counter() - begin < 20
+
+
+def test_scan_equals_patterns():
+    """Against the tag pattern, tried at every place, on random strings of markup."""
+    import random
+    import re
+
+    tag = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+    rnd = random.Random(3)
+    parts = ["<", ">", '"', "'", "a", " ", "/", "!", "--", "<a ", "</a>", "<!--", "-->", "<script>", "</script>", "<style", "x=", "<b>", "é"]
+    for _ in range(4000):
+        html = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25)))
+        if re.search(r"<[a-z]+[\"']", html, re.I):
+            continue  # quotes within names
+        at, want = 0, []
+        for m in tag.finditer(html):
+            want.append(((m[3] or m[1] or "!").lower(), m[2] == "/", m[4] or "", html[at : m.start()]))
+            at = m.end()
+        assert list(H.scan(html)) == [*want, ("", False, "", html[at:])], html

@@ -225,6 +225,7 @@ def test_streams(spark, tmp_path):
 def test_index(spark):
     docs = spark.createDataFrame([(1, "The River and the stone"), (2, "river RIVER bank"), (3, None)], "id long, text string")
     index = I.inverted_index(docs, "id", "text", shards=3)
+    assert {r.block for r in index.collect()} == {0}
     assert {r.term: (r.df, [(p.key, p.tf) for p in r.postings]) for r in index.collect()} == {"river": (2, [(1, 1), (2, 2)]), "stone": (1, [(1, 1)]), "bank": (1, [(2, 1)])}
     assert [tuple(r) for r in I.search(index, "River").collect()] == [(2, 2), (1, 1)] and [r.key for r in I.search(index, "river", "bank").collect()] == [2]
     x = spark.createDataFrame([("abc",)], "t string").select(I.ngrams("t", 2, 3).alias("g"), I.shingles(F.split(F.lit("a b c d e"), " "), 4, 5).alias("s")).first()
@@ -233,6 +234,52 @@ def test_index(spark):
     assert urls(I.indexable(rows)) == ["http://a/", "http://c/"]
 
 
+def test_index_in_blocks(spark, tmp_path):
+    docs = spark.range(300).selectExpr("id", "concat('common', if(id % 7 = 0, ' rare', '')) as text")
+    one = {r.key: r.score for r in I.search(I.inverted_index(docs, "id", "text"), "common", "rare").collect()}
+    split = I.inverted_index(docs, "id", "text", block=20)
+    sizes = [len(r.postings) for r in split.filter("term = 'common'").collect()]
+    assert len(sizes) > 8 and sum(sizes) == 300 and {r.df for r in split.filter("term = 'common'").collect()} == {300}
+    assert {r.key: r.score for r in I.search(split, "common", "rare").collect()} == one
+    counts = I.write_index(docs, "id", "text", f"{tmp_path}/index", shards=3, block=20)
+    assert counts["postings"] == 300 + 43 and len(glob.glob(f"{tmp_path}/index/shard=*")) <= 3
+    assert {r.key: r.score for r in I.search(I.read_index(spark, f"{tmp_path}/index"), "common", "rare").collect()} == one
+    assert I.inverted_index(docs.limit(0), "id", "text").count() == 0
+
+
+def test_ingest_resumes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        crawl_file(f"{tmp_path}/in/{k}.arc.gz")
+    (tmp_path / "in" / "1.arc.gz").write_bytes(b"no records")
+    store = S.Store(spark, f"{tmp_path}/store")
+    store.create("c")
+    got = store.ingest_files(f"{tmp_path}/in", "c", step=1)
+    assert got == {"seen": 12, "too_large": 0, "invalid": 6, "taken": 6, "next": 3}
+    assert store.ingest_files(f"{tmp_path}/in", "c", start=2)["seen"] == 6 and store.ingest_files(f"{tmp_path}/in", "c", start=9)["next"] == 9
+    before = sorted(map(str, store.captures("c").collect()))
+    old = store.dump().count()
+    store.compact("c", "gzip")
+    assert sorted(map(str, store.captures("c").collect())) == before and store.dump().count() == old + 1
+    assert store.collections().count() == 1
+
+
+def test_written_archives_come_back(spark, tmp_path):
+    rows = spark.sql("select timestamp'2008-04-30 20:48:25' as crawl_ts, 'http://a.org/x,y' as url, 'text/html' as mime_type, cast('body' as binary) as content union all select null, 'http://b.org/', null, cast('' as binary)")
+    archive.write(rows, f"{tmp_path}/a,b", "arc")
+    got = {r.url: r for r in archive.load_arc(spark, [f"{tmp_path}/a,b"]).collect()}
+    assert got["http://a.org/x,y"].crawl_date == "20080430" and got["http://b.org/"].crawl_date is None and got["http://b.org/"].mime_type == "no-type"
+    archive.write(rows, f"{tmp_path}/a,b", "warc")
+    assert {r.format for r in archive.read(spark, f"{tmp_path}/a,b").collect()} == {"WARC"}
+
+
+def test_entities_json(spark, tmp_path):
+    triples = spark.createDataFrame([("20080430", "http://a.org/", "Mr. John Smith met John Smith in Toronto."), ("20080430", "http://b.org/", None)], "date string, url string, content string")
+    n = sinks.write_entities_json(triples, f"{tmp_path}/e.json")
+    rows = json.load(open(f"{tmp_path}/e.json"))
+    assert n == len(rows) and all(set(r) == {"date", "domain", "ner"} for r in rows)
+
+
 def test_popular_images(spark):
     png = lambda w, h, t=b"": b"\x89PNG\r\n\x1a\n" + bytes(4) + b"IHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big") + t
     rows = [("20080430", f"http://a/{i}.png", "image/png", b) for i, b in enumerate([png(40, 40), png(40, 40), png(40, 40, b"x"), png(5, 40), b"junk", png(31, 30)])]
