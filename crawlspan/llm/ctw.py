@@ -111,44 +111,97 @@ def gram_counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> Data
 
 
 class _Trees:
-    """All context trees below the two latest context bytes, for sorted grams with counts."""
+    """All context trees below the two latest context bytes, for distinct grams with counts.
+
+    Grams are sorted by their context, latest byte first, then by the coded
+    byte, so that the grams of a context are a run, and those of a node of its
+    binary tree a run within that. The entries of a level, (context of d bytes,
+    coded byte), come from those of the level above by one sort of the latter;
+    all else are sums over runs and look-ups of parents.
+    """
 
     def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int):
-        x = (gram & 0xFF)[:, None]
-        k = np.arange(8)
-        node = (1 << k) | (x >> (8 - k))
-        self.bit = ((x >> (7 - k)) & 1).ravel()
-        self.node = node.ravel()
-        context = np.repeat(gram.view(np.uint64) >> np.uint64(8), 8)
-        key = (context << np.uint64(8)) | self.node.astype(np.uint64)
-        count = np.repeat(n.astype(float), 8)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        children = None
+        swapped = gram.view(np.uint64).byteswap()
+        key = (swapped << np.uint64(8)) | (gram.view(np.uint64) & np.uint64(0xFF))
+        self.order = np.argsort(key)
+        key, count = key[self.order], n[self.order].astype(float)
+        self.key, self.maps, self.nodes = key, [], []
+        below: list[np.ndarray] | None = None
+        groups: list[np.ndarray] | None = None
         for d in range(depth, 1, -1):
-            keep = (np.uint64(1) << np.uint64(8 * d + 8)) - np.uint64(1) if d < 7 else np.uint64(2**64 - 1)
-            distinct, back = np.unique(key & keep, return_inverse=True)
-            if children is None:
-                ones = np.bincount(back, count * self.bit, len(distinct))
-                zeros = np.bincount(back, count, len(distinct)) - ones
-                own = log_kt(zeros, ones)
-                weighted, share = own, np.ones(len(distinct))
-            else:
-                zeros, ones, below = (np.bincount(back, c, len(distinct)) for c in children)
-                own = log_kt(zeros, ones) + _HALF
-                weighted = np.logaddexp(own, below + _HALF)
-                share = np.exp(own - weighted)
-            self.levels.append((back, zeros, ones, weighted, share))
-            key, children = distinct, (zeros, ones, weighted)
-        self.keys, (self.zeros, self.ones, self.weighted) = key, children
-
-    def predicted(self) -> np.ndarray:
-        """Probability of each binary decision by depth 2 and deeper."""
-        at, p = None, None
-        for back, zeros, ones, _, share in self.levels:
-            at = back if at is None else back[at]
-            kt = (np.where(self.bit == 1, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)
-            p = kt if p is None else share[at] * kt + (1 - share[at]) * p
-        return p
+            if d < depth:
+                keep = np.uint64((1 << 64) - (1 << 8 * (8 - d)) | 0xFF)
+                key, to = np.unique(key & keep, return_inverse=True)
+                count = np.bincount(to, count, len(key))
+                self.maps.append(to)
+            byte, context = (key & np.uint64(0xFF)).astype(np.int64), key >> np.uint64(8)
+            fresh = np.concatenate([[True], context[1:] != context[:-1]])
+            level, before = [], groups
+            groups, weights = [], []
+            for k in range(8):
+                prefix = byte >> (8 - k)
+                new = fresh.copy()
+                new[1:] |= prefix[1:] != prefix[:-1]
+                first = np.flatnonzero(new)
+                group = np.cumsum(new, dtype=np.int32) - 1
+                total = np.add.reduceat(count, first)
+                ones = np.add.reduceat(count * ((byte >> (7 - k)) & 1), first)
+                own = log_kt(total - ones, ones)
+                share, parent = None, None
+                if before is None:
+                    weighted = own
+                else:
+                    starts = self.nodes[-1][k][0]
+                    parent = group[to[starts]]
+                    own += _HALF
+                    weighted = np.logaddexp(own, np.bincount(parent, below[k], len(first)) + _HALF)
+                    share = np.exp(own - weighted)
+                level.append((first, ones, total, share, parent))
+                groups.append(group)
+                weights.append(weighted)
+            self.nodes.append(level)
+            below = weights
+        self.last, self.weighted, self.groups = key, below, groups
+
+    def sums(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(latest byte, node, zeros, ones, log weighted probability) of the nodes of depth 2."""
+        for k, (first, ones, total, _, _) in enumerate(self.nodes[-1]):
+            key = self.last[first]
+            node = (1 << k) | ((key & np.uint64(0xFF)).astype(np.int64) >> (8 - k))
+            yield (key >> np.uint64(56)).astype(np.int64), node, total - ones, ones, self.weighted[k]
+
+    def bits(self, kt1: np.ndarray, share1: np.ndarray, kt0: np.ndarray, share0: np.ndarray) -> np.ndarray:
+        """What the last byte of each gram costs, in the order in which the grams came.
+
+        kt, share: estimate of a zero and posterior weight of depth 1 by latest
+        byte and node, and of depth 0 by node. The weight left over goes down
+        the levels, from each node to the nodes below it.
+        """
+        cost = np.zeros(len(self.key))
+        byte = (self.key & np.uint64(0xFF)).astype(np.int64)
+        for k in range(8):
+            key = self.last[self.nodes[-1][k][0]]
+            latest, node = (key >> np.uint64(56)).astype(np.int64), (1 << k) | ((key & np.uint64(0xFF)).astype(np.int64) >> (8 - k))
+            one = share0[node] * (1 - kt0[node])
+            rest = 1 - share0[node]
+            one += rest * share1[latest, node] * (1 - kt1[latest, node])
+            rest = rest * (1 - share1[latest, node])
+            for level in range(len(self.nodes) - 1, -1, -1):
+                _, ones, total, share, parent = self.nodes[level][k]
+                kt = (ones + 0.5) / (total + 1)
+                if share is None:
+                    one = one + rest * kt
+                else:
+                    one = one + rest * share * kt
+                    rest = rest * (1 - share)
+                    down = parent
+                    one, rest = one[down], rest[down]
+            first = self.nodes[0][k][0]
+            p = np.repeat(one, np.diff(np.append(first, len(byte))))
+            cost -= np.log2(np.where((byte >> (7 - k)) & 1 == 1, p, 1 - p))
+        out = np.empty(len(cost))
+        out[self.order] = cost
+        return out
 
 
 def _top(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,10 +227,9 @@ def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, 256, 256))
         for table in T.keyed(batches, TREE_BYTES):
-            t = _Trees(table["gram"].to_numpy(), table["n"].to_numpy(), depth)
-            where = (((t.keys >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64), (t.keys & np.uint64(0xFF)).astype(np.int64))
-            for k, c in enumerate((t.zeros, t.ones, t.weighted)):
-                np.add.at(total[k], where, c)
+            for byte, node, zeros, ones, weighted in _Trees(table["gram"].to_numpy(), table["n"].to_numpy(), depth).sums():
+                for k, c in enumerate((zeros, ones, weighted)):
+                    np.add.at(total[k], (byte, node), c)
         some = np.nonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some[0].astype(np.int32)), pa.array(some[1].astype(np.int32)), *(pa.array(total[k][some]) for k in range(3))], ["byte", "node", "zeros", "ones", "below"])
 
@@ -188,11 +240,8 @@ def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in T.keyed(batches, TREE_BYTES):
             gram = table["gram"].to_numpy()
-            t = _Trees(gram, table["n"].to_numpy(), depth)
-            p, byte = t.predicted(), np.repeat((gram >> 8) & 0xFF, 8)
-            for kt, share in ((kt1[byte, t.node], share1[byte, t.node]), (kt0[t.node], share0[t.node])):
-                p = share * np.where(t.bit == 1, 1 - kt, kt) + (1 - share) * p
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(-np.log2(p).reshape(-1, 8).sum(1))], ["gram", "bits"])
+            bits = _Trees(gram, table["n"].to_numpy(), depth).bits(kt1, share1, kt0, share0)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(bits)], ["gram", "bits"])
 
     return placed.mapInArrow(T.tidy(cost), "gram long, bits double")
 
