@@ -8,9 +8,13 @@ share of each depth in a prediction is its posterior weight. Since that
 depends on `depth` + 1 bytes alone, the corpus is gathered as counts of those
 grams, each distinct gram is priced once, and texts are scored by look-up.
 
-Grams are spread by their two latest context bytes, so that each task holds
-whole subtrees from depth 2 down. Depths 0 and 1 have at most 256 * 255 nodes
-and are put together from one sum for each.
+Texts are put into blocks, which are written once. A block sends its distinct
+grams, sorted and coded by their differences, as one binary for each bucket of
+the two latest context bytes; so a bucket holds whole subtrees from depth 2
+down. What comes back to the block are the prices alone, in the order of its
+grams, which it makes anew from its texts. A row for each gram would cost
+several times its content. Depths 0 and 1 have at most 256 * 255 nodes and are
+put together from one sum for each.
 """
 
 from __future__ import annotations
@@ -19,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from crawlspan.llm import text as T
 from crawlspan.session import cut_lineage
@@ -29,11 +34,12 @@ from crawlspan.session import cut_lineage
 DEPTH = 4
 #: What a gram of eight bytes holds; contexts of this depth keep growing with the corpus.
 DEEPEST = 7
-#: A price table of up to this many bytes is broadcast; a larger one is joined, by groups of documents.
-BROADCAST_BYTES = 32 << 20
-#: Bytes of grams whose trees are built at once, if their latest bytes aren't all the same.
-TREE_BYTES = 1 << 20
-GROUP_BYTES = 32 << 20
+#: Bytes of text in a block, and text for each bucket of grams.
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 4 << 20
+#: Grams whose trees are built at once, if their latest bytes aren't all the same.
+TREE_GRAMS = 1 << 16
+#: Prices travel as multiples of this part of a bit.
+PARTS = 1 << 15
 
 _HALF = float(np.log(0.5))
 
@@ -64,67 +70,174 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out - float(np.log(np.pi))
 
 
-def grams(body: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
-    """For each byte, itself (lowest) and the `depth` bytes before, as one number; before a text stand zero bytes."""
-    out = body.astype(np.uint64)
-    where = np.arange(len(body)) - np.repeat(offsets[:-1], np.diff(offsets))
-    for k in range(1, depth + 1):
-        before = np.zeros(len(body), np.uint64)
-        before[k:] = body[: len(body) - k]
-        before[where < k] = 0
-        out |= before << np.uint64(8 * k)
-    return out.view(np.int64)
+def grams(body: np.ndarray, offsets: np.ndarray, depth: int, step: int = 1 << 20) -> Iterator[np.ndarray]:
+    """For each byte, the `depth` bytes before, the latest uppermost, and itself lowest, as one number; `step` bytes at a time.
+
+    Before a text stand zero bytes.
+    """
+    for i in range(0, len(body), step):
+        j = min(i + step, len(body))
+        at = np.arange(i, j)
+        where = at - offsets[np.searchsorted(offsets, at, "right") - 1]
+        out = body[i:j].astype(np.uint64)
+        for k in range(1, depth + 1):
+            before = np.zeros(j - i, np.uint64)
+            low = max(i, k)
+            before[low - i :] = body[low - k : j - k]
+            before[where < k] = 0
+            out |= before << np.uint64(64 - 8 * k)
+        yield out
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, with the sums of their counts."""
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _distinct(body: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a block, sorted, with their counts."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for part in grams(body, offsets, depth):
+        parts.append(np.unique(part, return_counts=True))
+        if sum(len(k) for k, _ in parts[1:]) > max(1 << 22, len(parts[0][0])):
+            parts = [_merged(parts)]
+    return _merged(parts)
+
+
+def _coded(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed planes of bytes."""
+    x = np.ascontiguousarray(x, np.uint64)
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(x).to_bytes(8, "little") + bytes([width]) + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _decoded(blob: bytes) -> np.ndarray:
+    n, width = int.from_bytes(blob[:8], "little"), blob[8]
+    planes = np.frombuffer(pa.Codec("zstd").decompress(memoryview(blob)[9:], n * width), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view(np.uint64)
+
+
+def _sorted_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_decoded(blob), dtype=np.uint64)
+
+
+def _by_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket of the two latest context bytes, where each bucket begins), from sorted grams."""
+    of = (T.mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(buckets)).astype(np.uint16)[(key >> np.uint64(48)).astype(np.int64)]
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(buckets + 1))
 
 
-def gram_counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """latest (the two latest context bytes), gram, n over all bytes of all rows; combined in each task before the shuffle."""
+def _blocks(rows: DataFrame, kind: DataType) -> DataFrame:
+    """block, ids, at, body: rows of (id, text) put together as they are scanned; NULL texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        number = (task.partitionId() if (task := TaskContext.get()) else 0) << 32
 
-        def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            k, c = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(k, kind="stable")
-            k, c = k[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-            return k[first], np.add.reduceat(c, first) if len(first) else c
+        def block() -> pa.RecordBatch:
+            ids = pa.concat_arrays([h[0] for h in held])
+            size = np.concatenate([np.diff(h[2]) for h in held])
+            body = np.concatenate([h[1] for h in held])
+            raw = len(body).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(body, asbytes=True)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([_coded(size)]), pa.array([raw])], ["block", "ids", "sizes", "body"])
 
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            body, offsets = T.flat(batch.column(0))
-            for i, j in T.slices(offsets):
-                waiting.append(np.unique(grams(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], depth), return_counts=True))
-                if sum(len(k) for k, _ in waiting) > 1 << 20:
-                    waiting = [merge(waiting)]
-                    if len(waiting[0][0]) > 1 << 21:
-                        yield from out(*waiting.pop())
-        if waiting:
-            yield from out(*merge(waiting))
+            if not batch.num_rows:
+                continue
+            held.append((batch.column(0), *T.flat(batch.column(1))))
+            if sum(len(h[1]) for h in held) >= BLOCK_BYTES:
+                yield block()
+                held, number = [], number + 1
+        if held:
+            yield block()
 
-    def out(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(key), 1 << 17):
-            k = key[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(((k >> 8) & 0xFFFF).astype(np.int32)), pa.array(k), pa.array(n[i : i + (1 << 17)])], ["latest", "gram", "n"])
+    schema = StructType([StructField("block", LongType()), StructField("ids", ArrayType(kind)), StructField("sizes", BinaryType()), StructField("body", BinaryType())])
+    return rows.mapInArrow(T.tidy(run), schema)
 
-    rows = docs.select(F.col(text)).mapInArrow(T.tidy(run), "latest int, gram long, n long")
-    return rows.groupBy("latest", "gram").agg(F.sum("n").alias("n"))
+
+def _texts(sizes: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a block."""
+    offsets = np.concatenate([[0], np.cumsum(_decoded(sizes).astype(np.int64))])
+    n = int.from_bytes(body[:8], "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(memoryview(body)[8:], n), np.uint8) if n else np.zeros(0, np.uint8), offsets
+
+
+_SENT = "bucket int, block long, keys binary, n binary"
+
+
+def _gathered(blocks: DataFrame, depth: int, buckets: int, counts: bool = True, asks: bool = True) -> DataFrame:
+    """What blocks send to buckets: their grams, with counts if those count, and with the block's number if it asks for prices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, sizes, body in zip(*(c.to_pylist() for c in batch.columns)):
+                key, n = _distinct(*_texts(sizes, body), depth)
+                order, at = _by_bucket(key, buckets)
+                key, n = key[order], n[order]
+                some = np.flatnonzero(np.diff(at))
+                for i in range(0, len(some), 256):
+                    part = some[i : i + 256]
+                    keys = [_coded(np.diff(key[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in part]
+                    ns = [_coded(n[at[b] : at[b + 1]]) if counts else None for b in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([block if asks else None] * len(part), pa.int64()), pa.array(keys, pa.binary()), pa.array(ns, pa.binary())], ["bucket", "block", "keys", "n"])
+
+    return blocks.select("block", "sizes", "body").mapInArrow(T.tidy(run), _SENT)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int | None, bytes]], np.ndarray, np.ndarray]]:
+    """(bucket, what asks, its distinct grams, their counts) from sorted rows; at most twice the distinct grams are held uncoded."""
+    now, asks, parts = None, [], []
+
+    def whole() -> tuple[int, list[tuple[int | None, bytes]], np.ndarray, np.ndarray]:
+        return now, asks, *_merged(parts)
+
+    for batch in batches:
+        for bucket, block, keys, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now:
+                if now is not None:
+                    yield whole()
+                now, asks, parts = bucket, [], [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            if block is not None:
+                asks.append((block, keys))
+            key = _sorted_keys(keys)
+            parts.append((key, np.zeros(len(key), np.int64) if n is None else _decoded(n).astype(np.int64)))
+            if sum(len(k) for k, _ in parts[1:]) > max(1 << 20, len(parts[0][0])):
+                parts = [_merged(parts)]
+    if now is not None:
+        yield whole()
+
+
+def _pieces(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sorted grams that hold whole subtrees, of about TREE_GRAMS or one subtree."""
+    latest = key >> np.uint64(48)
+    edge = np.append(np.flatnonzero(np.concatenate([[True], latest[1:] != latest[:-1]])), len(key)) if len(key) else np.zeros(1, np.int64)
+    i = 0
+    while i < len(edge) - 1:
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + TREE_GRAMS, "right")) - 1)
+        yield int(edge[i]), int(edge[j])
+        i = j
 
 
 class _Trees:
     """All context trees below the two latest context bytes, for distinct grams with counts.
 
-    Grams are sorted by their context, latest byte first, then by the coded
+    Grams come sorted by their context, latest byte first, then by the coded
     byte, so that the grams of a context are a run, and those of a node of its
     binary tree a run within that. The entries of a level, (context of d bytes,
     coded byte), come from those of the level above by one sort of the latter;
     all else are sums over runs and look-ups of parents.
     """
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int):
-        swapped = gram.view(np.uint64).byteswap()
-        key = (swapped << np.uint64(8)) | (gram.view(np.uint64) & np.uint64(0xFF))
-        self.order = np.argsort(key)
-        key, count = key[self.order], n[self.order].astype(float)
+    def __init__(self, key: np.ndarray, n: np.ndarray, depth: int):
+        count = n.astype(float)
         self.key, self.maps, self.nodes = key, [], []
         below: list[np.ndarray] | None = None
         groups: list[np.ndarray] | None = None
@@ -171,7 +284,7 @@ class _Trees:
             yield (key >> np.uint64(56)).astype(np.int64), node, total - ones, ones, self.weighted[k]
 
     def bits(self, kt1: np.ndarray, share1: np.ndarray, kt0: np.ndarray, share0: np.ndarray) -> np.ndarray:
-        """What the last byte of each gram costs, in the order in which the grams came.
+        """What the last byte of each gram costs.
 
         kt, share: estimate of a zero and posterior weight of depth 1 by latest
         byte and node, and of depth 0 by node. The weight left over goes down
@@ -199,9 +312,7 @@ class _Trees:
             first = self.nodes[0][k][0]
             p = np.repeat(one, np.diff(np.append(first, len(byte))))
             cost -= np.log2(np.where((byte >> (7 - k)) & 1 == 1, p, 1 - p))
-        out = np.empty(len(cost))
-        out[self.order] = cost
-        return out
+        return cost
 
 
 def _top(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,18 +329,17 @@ def _top(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return (zeros + 0.5) / (zeros + ones + 1), np.exp(own - np.logaddexp(own, below + _HALF)), (z0 + 0.5) / (z0 + o0 + 1), np.exp(own0 - np.logaddexp(own0, weighted.sum(0) + _HALF)), weighted
 
 
-def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram, bits: what its last byte costs after its other bytes, for every gram in `counts` (latest, gram, n), n = 0 included."""
-    if not 2 <= depth <= DEEPEST:
-        raise ValueError("depth must be from 2 to 7")
-    placed = counts.repartition("latest").sortWithinPartitions("latest", "gram")
+def _prices(sent: DataFrame, depth: int) -> DataFrame:
+    """block, bucket, bits: what the last byte of each gram costs after its other bytes, for each block that asks, in the order of its grams."""
+    placed = cut_lineage(sent.repartition("bucket").sortWithinPartitions("bucket"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, 256, 256))
-        for table in T.keyed(batches, TREE_BYTES):
-            for byte, node, zeros, ones, weighted in _Trees(table["gram"].to_numpy(), table["n"].to_numpy(), depth).sums():
-                for k, c in enumerate((zeros, ones, weighted)):
-                    np.add.at(total[k], (byte, node), c)
+        for _, _, key, n in _buckets(batches):
+            for i, j in _pieces(key):
+                for byte, node, zeros, ones, weighted in _Trees(key[i:j], n[i:j], depth).sums():
+                    for k, c in enumerate((zeros, ones, weighted)):
+                        np.add.at(total[k], (byte, node), c)
         some = np.nonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some[0].astype(np.int32)), pa.array(some[1].astype(np.int32)), *(pa.array(total[k][some]) for k in range(3))], ["byte", "node", "zeros", "ones", "below"])
 
@@ -238,54 +348,17 @@ def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     kt1, share1, kt0, share0, _ = _top(top.toArrow())  # at most 256 * 255 rows
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in T.keyed(batches, TREE_BYTES):
-            gram = table["gram"].to_numpy()
-            bits = _Trees(gram, table["n"].to_numpy(), depth).bits(kt1, share1, kt0, share0)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(bits)], ["gram", "bits"])
-
-    return placed.mapInArrow(T.tidy(cost), "gram long, bits double")
-
-
-class _Prices:
-    """An open-addressed table from gram to bits."""
-
-    def __init__(self, gram: np.ndarray, bits: np.ndarray):
-        self.size = max(4, int(np.ceil(np.log2(max(len(gram), 1) * 2))))
-        self.keys = np.full(1 << self.size, -1, np.int64)
-        self.bits = np.zeros(1 << self.size, np.float32)
-        slot, left = self._slot(gram), np.arange(len(gram))
-        while len(left):
-            free = left[self.keys[slot[left]] == -1]
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.keys[slot[put]], self.bits[slot[put]] = gram[put], bits[put]
-            left = left[self.keys[slot[left]] != gram[left]]
-            slot[left] = (slot[left] + 1) & ((1 << self.size) - 1)
-
-    def _slot(self, gram: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.size)).view(np.int64)
-
-    def __getitem__(self, gram: np.ndarray) -> np.ndarray:
-        slot = self._slot(gram)
-        open_ = np.flatnonzero(self.keys[slot] != gram)
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & ((1 << self.size) - 1)
-            open_ = open_[self.keys[slot[open_]] != gram[open_]]
-        return self.bits[slot]
-
-
-def _total(body: np.ndarray, offsets: np.ndarray, table: _Prices, depth: int) -> np.ndarray:
-    """Bits of each row."""
-    out = np.zeros(len(offsets) - 1)
-    for i, j in T.slices(offsets):
-        at = offsets[i : j + 1] - offsets[i]
-        sums = np.concatenate([[0.0], np.cumsum(table[grams(body[offsets[i] : offsets[j]], at, depth)], dtype=np.float64)])
-        out[i:j] = sums[at[1:]] - sums[at[:-1]]
-    return out
+        for bucket, asks, key, n in _buckets(batches):
+            if not asks:
+                continue
+            price = np.empty(len(key), np.uint32)
+            for i, j in _pieces(key):
+                price[i:j] = np.rint(_Trees(key[i:j], n[i:j], depth).bits(kt1, share1, kt0, share0) * PARTS)
+            for block, keys in asks:
+                bits = _coded(price[np.searchsorted(key, _sorted_keys(keys))])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([bits])], ["block", "bucket", "bits"])
 
-
-_held: dict[int, _Prices] = {}
+    return placed.mapInArrow(T.tidy(cost), "block long, bucket int, bits binary")
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
@@ -298,50 +371,39 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, text: str = "text",
     rows, and with an empty corpus each bit costs one bit. Grams of `docs` that
     the corpus lacks are priced by the contexts that it has.
     """
-    counts = gram_counts(docs if corpus is None else corpus, text, depth)
+    if not 2 <= depth <= DEEPEST:
+        raise ValueError("depth must be from 2 to 7")
+    kind = docs.schema[key].dataType
+    blocks = cut_lineage(_blocks(docs.select(F.col(key), F.col(text)), kind))
+    size = (docs if corpus is None else docs.select(text).unionByName(corpus.select(text))).agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = int(min(1 << 15, max(8, size // BUCKET_BYTES)))
+    sent = _gathered(blocks, depth, buckets, counts=corpus is None)
     if corpus is not None:
-        asked = gram_counts(docs, text, depth).withColumn("n", F.lit(0).cast("long"))
-        counts = counts.unionByName(asked).groupBy("latest", "gram").agg(F.sum("n").alias("n"))
-    priced = cut_lineage(prices(cut_lineage(counts), depth))
-    schema = StructType([StructField(key, docs.schema[key].dataType), StructField("n_bytes", LongType()), StructField("bits", DoubleType())])
-    rows = docs.select(F.col(key), F.col(text).alias("_text"))
-    if priced.count() * 12 <= BROADCAST_BYTES:
-        got = priced.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((got["gram"].to_numpy(), got["bits"].to_numpy().astype(np.float32)))
-        number = shared._jbroadcast.id()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if number not in _held:
-                _held.clear()
-                _held[number] = _Prices(*shared.value)
-            for batch in batches:
-                body, offsets = T.flat(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(_total(body, offsets, _held[number], depth))], [key, "n_bytes", "bits"])
-
-        out = rows.mapInArrow(run, schema)
-    else:
-        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        grouped = rows.withColumn("_g", F.pmod(F.xxhash64(key, "_text"), F.lit(size // GROUP_BYTES + 1)))
-
-        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                body, offsets = T.flat(batch.column(0))
-                group = batch.column(1).to_numpy()
-                for i, j in T.slices(offsets):
-                    at = offsets[i : j + 1] - offsets[i]
-                    g = np.repeat(group[i:j], np.diff(at))
-                    gram = grams(body[offsets[i] : offsets[j]], at, depth)
-                    order = np.lexsort((gram, g))
-                    g, gram = g[order], gram[order]
-                    new = np.concatenate([[True], (g[1:] != g[:-1]) | (gram[1:] != gram[:-1])]) if len(g) else np.zeros(0, bool)
-                    yield pa.RecordBatch.from_arrays([pa.array(g[new]), pa.array(gram[new])], ["_g", "gram"])
-
-        wanted = grouped.select("_text", "_g").mapInArrow(distinct, "_g long, gram long").distinct().join(priced, "gram")
-
-        def scored(mine: pa.Table, price: pa.Table) -> pa.Table:
-            body, offsets = T.flat(mine["_text"])
-            table = _Prices(price["gram"].to_numpy(), price["bits"].to_numpy().astype(np.float32))
-            return pa.table([mine[key], pa.array(np.diff(offsets)), pa.array(_total(body, offsets, table, depth))], [key, "n_bytes", "bits"])
-
-        out = grouped.groupBy("_g").cogroup(wanted.groupBy("_g")).applyInArrow(scored, schema)
+        sent = sent.unionByName(_gathered(_blocks(corpus.select(F.lit(0), F.col(text)), IntegerType()), depth, buckets, asks=False))
+
+    def scored(mine: pa.Table, price: pa.Table) -> pa.Table:
+        ids, length, bits = [], [], []
+        got = dict(zip(price["bucket"].to_pylist(), price["bits"].to_pylist())) if price.num_rows else {}
+        for row in range(mine.num_rows):
+            body, offsets = _texts(mine["sizes"][row].as_py(), mine["body"][row].as_py())
+            grams_here, _ = _distinct(body, offsets, depth)
+            order, at = _by_bucket(grams_here, buckets)
+            parts = np.empty(len(grams_here), np.uint32)
+            for b in np.flatnonzero(np.diff(at)):
+                parts[order[at[b] : at[b + 1]]] = _decoded(got[int(b)])
+            total = np.zeros(len(offsets) - 1, np.int64)
+            done = 0
+            for part in grams(body, offsets, depth):
+                u, back = np.unique(part, return_inverse=True)
+                sums = np.concatenate([[0], np.cumsum(parts[np.searchsorted(grams_here, u)][back], dtype=np.int64)])
+                inside = np.clip(offsets - done, 0, len(part))
+                total += np.diff(sums[inside])
+                done += len(part)
+            ids.append(mine["ids"].chunk(0).slice(row, 1).flatten() if mine["ids"].num_chunks == 1 else mine["ids"].combine_chunks().slice(row, 1).flatten())
+            length.append(np.diff(offsets))
+            bits.append(total / PARTS)
+        return pa.table([pa.concat_arrays(ids), pa.array(np.concatenate(length)), pa.array(np.concatenate(bits))], [key, "n_bytes", "bits"])
+
+    schema = StructType([StructField(key, kind), StructField("n_bytes", LongType()), StructField("bits", DoubleType())])
+    out = blocks.groupBy("block").cogroup(_prices(sent, depth).groupBy("block")).applyInArrow(scored, schema)
     return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")))

@@ -77,12 +77,13 @@ def test_equals_recursion(docs, depth):
         assert got[i].n_bytes == len(t.encode()) and got[i].bits == pytest.approx(bits, rel=1e-4, abs=1e-4)
 
 
-def test_other_corpus_and_join_way(spark, docs, monkeypatch):
+def test_other_corpus_and_any_blocks(spark, docs, monkeypatch):
     other = ["the stone of the tree", "unseen zebra", ""]
     asked = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
     expected = brute(texts(), other, 4)
-    for size in (C.BROADCAST_BYTES, -1):
-        monkeypatch.setattr(C, "BROADCAST_BYTES", size)
+    for block, bucket in ((C.BLOCK_BYTES, C.BUCKET_BYTES), (1, 1), (1 << 10, 64)):
+        monkeypatch.setattr(C, "BLOCK_BYTES", block)
+        monkeypatch.setattr(C, "BUCKET_BYTES", bucket)
         got = {r.doc_id: r.bits for r in C.score(asked, docs).collect()}
         assert [got[i] for i in range(3)] == pytest.approx(expected, rel=1e-4, abs=1e-4)
 
@@ -93,6 +94,7 @@ def test_awkward_rows(spark, docs):
     assert [(r.doc_id, r.n_bytes, r.bits, r.bits_per_byte) for r in got[:3]] == [(1, 0, 0, None), (1, 0, 0, None), (2, 0, 0, None)]
     assert got[3].bits_per_byte == got[3].bits / 8
     assert C.score(rows.limit(0)).count() == 0
+    assert [r.n_bytes for r in C.score(rows.filter("text is null or text = ''")).collect()] == [0, 0, 0]
     assert C.score(rows, rows.limit(0)).filter("doc_id is null").first().bits == pytest.approx(64)
 
 
@@ -107,3 +109,15 @@ def test_query_reads_contexts_of_seven_bytes(spark):
     got = {r.doc_id: r.bits for r in queries.QUERIES["op5_context_tree_weighting"](spark, sf).collect()}
     deep = {r.doc_id: r.bits for r in C.score(docs, depth=7).collect()}
     assert got == pytest.approx(deep, rel=1e-6) and sum(got.values()) < 0.95 * sum(r.bits for r in C.score(docs, depth=4).collect())
+
+
+def test_text_longer_than_a_step_and_codes(monkeypatch):
+    rnd = np.random.default_rng(4)
+    body = rnd.integers(97, 101, 5000).astype(np.uint8)
+    offsets = np.array([0, 0, 3, 2900, 5000])
+    for depth in (2, 7):
+        one, many = list(C.grams(body, offsets, depth)), list(C.grams(body, offsets, depth, 700))
+        assert len(many) == 8 and np.array_equal(one[0], np.concatenate(many))
+        assert [int(g) >> 56 for g in one[0][[0, 3, 2900]]] == [0, 0, 0] and int(one[0][5]) >> 56 == body[4]
+    for x in (np.zeros(0), np.arange(5), rnd.integers(0, 1 << 62, 99)):
+        assert np.array_equal(C._decoded(C._coded(x.astype(np.uint64))), x.astype(np.uint64))
