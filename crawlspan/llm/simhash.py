@@ -1,14 +1,15 @@
-"""SimHash near-duplicates, searched through BK-trees.
-
-A text's signature is 128 sign bits over its distinct words. Signatures are
-spread over shards by samples of their bits, once for each of several samples,
-so that two near signatures almost surely meet in some shard; each shard is
-searched through a BK-tree whose edges carry the Hamming distance of child and
-parent, of which a query follows those alone that lie within the radius of its
-own distance. All trees of a task are built and searched level by level at
-once. A shard's members are its queries, hence trees travel to their queries by
-one shuffle, whose size is known, rather than by a broadcast, which would have
-to hold the whole corpus.
+"""SimHash near-duplicates, every pair within the radius.
+
+A text's signature is 128 sign bits over its distinct words. Its bits are
+parted into blocks, so many that two signatures within the radius differ by at
+most 2 bits in one of them (7 blocks of 18 bits for a radius of 20). Such blocks
+have a value in common if one bit of either may be flipped; hence each signature
+enters, in each block, the bucket of its own value and those of the values a bit
+away, and whatever shares a bucket is compared. No pair at the radius is left to
+chance. Only the first bits of a block name the shards that travel, one row for
+the name and one for each name a bit away; the values are made where they are
+compared. `build` and `search` are the BK-tree of a few signatures; among many
+unrelated ones it prunes little at this radius, and `groups` doesn't use it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from crawlspan.session import cut_lineage
 
 BITS = 128
 RADIUS = 20
-#: Chance that a pair at the radius meets in a shard, whatever the number of signatures; nearer pairs meet more surely.
+#: Chance that a pair at the radius meets in the sampled shards of `sharding`, which `groups` doesn't use.
 RECALL = 0.995
 
 
@@ -172,23 +173,142 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _searcher(radius: int):
-    """Over (sample, key, hi, lo) rows, whole shards together: star edges of what is near, at most one a signature."""
+def blocks(radius: int) -> np.ndarray:
+    """Places of each block's bits. Of `radius` differing bits some block has at most 2: with 3 in each there would be more."""
+    n = min(radius, BITS) // 3 + 1
+    size = min(BITS // n, 24)
+    return _positions(BITS, 1)[0][: n * size].reshape(n, size)
+
+
+def naming(n: int, size: int) -> int:
+    """Bits of a block that name its shard, the more the more signatures there are; what is found doesn't depend on it."""
+    return int(np.clip(np.ceil(np.log2(max(n, 2))) - 13, 0, size))
+
+
+def shard_names(words: np.ndarray, places: np.ndarray, top: int) -> np.ndarray:
+    """For each (hi, lo) row and block the shards it goes to: that of the block's first `top` bits and those one bit away."""
+    flips = np.concatenate([[0], 1 << np.arange(top)])
+    return (shard_keys(words, places) >> (places.shape[1] - top))[:, :, None] ^ flips
+
+
+def variants(words: np.ndarray, places: np.ndarray, top: int, name: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of one shard: the bits of the shard's block as they are and with any one flipped, where the first are its name.
+
+    Blocks that differ in 2 bits have values in common: each with one of the two flipped.
+    """
+    values = shard_keys(words, places[None]) ^ np.concatenate([[0], 1 << np.arange(len(places))])
+    row, at = np.nonzero(values >> (len(places) - top) == name)
+    return row, values[row, at]
+
+
+#: Pairs that are held at once.
+PAIRS = 1 << 20
+
+
+def linked(words: np.ndarray, row: np.ndarray, value: np.ndarray, radius: int) -> np.ndarray:
+    """The least row that each row is connected with, where rows of one value are linked if they differ by at most `radius` bits.
+
+    Every two rows of a value are compared, save those of its family if that
+    makes up most of them: rows near one and the same row are connected anyway.
+    """
+    label = np.arange(len(words))
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]]) if len(row) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(row)))
+    large = np.argsort(-size, kind="stable")
+    large = large[size[large] > 1]
+    start, size = start[large], size[large]
+    if not len(size):
+        return label
+    row = row[_ranges(start, size)]
+    start = np.cumsum(size) - size
+    bucket = np.repeat(np.arange(len(size)), size)
+    # the family of a bucket: the rows near its first, or, in a large one, near the one of four that has most
+    family, members = np.zeros(len(row), bool), np.zeros(len(size), np.int64)
+    for quarter in range(4):
+        some = int((size > 64).sum()) if quarter else len(size)
+        if not some:
+            break
+        m = int(size[:some].sum())
+        lead = row[(start + size * quarter // 4)[bucket[:m]]]
+        near = distance(words[row[:m]], words[lead]) <= radius
+        apart = near & (lead != row[:m])
+        label = roots(len(words), np.concatenate([lead[apart], np.arange(len(words))]), np.concatenate([row[:m][apart], label]))
+        count = np.bincount(bucket[:m][near], minlength=some)
+        more = count > members[:some]
+        members[:some][more] = count[more]
+        family[:m] = np.where(more[bucket[:m]], near, family[:m])
+    held, found = 0, []
+
+    def hold(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal held, label
+        found.append((a, b))
+        held += len(a)
+        if held > PAIRS:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            label = roots(len(words), np.concatenate([a, np.arange(len(words))]), np.concatenate([b, label]))
+            found.clear()
+            held = 0
+
+    heavy = members * members * 2 > size * size
+    # buckets that a family makes up: each of the others with every row
+    other = np.flatnonzero(heavy[bucket] & ~family)
+    for i, j in T.slices(np.concatenate([[0], np.cumsum(size[bucket[other]])]), PAIRS):
+        o = other[i:j]
+        a, b = row[np.repeat(o, size[bucket[o]])], row[_ranges(start[bucket[o]], size[bucket[o]])]
+        near = (distance(words[a], words[b]) <= radius) & (a != b)
+        hold(a[near], b[near])
+    # the rest: each row with the k-th after it, in the buckets that have as many
+    rest = np.flatnonzero(~heavy[bucket])
+    row, bucket = row[rest], bucket[rest]
+    hi, lo = (np.ascontiguousarray(words[row, k]) for k in (0, 1))
+    down = -size[bucket]
+    for k in range(1, int(-down.min(initial=0))):
+        m = int(np.searchsorted(down, -k))
+        d = np.bitwise_count(hi[k:m] ^ hi[: m - k])
+        at = np.flatnonzero(d <= radius)
+        at = at[bucket[at] == bucket[at + k]]
+        at = at[d[at] + np.bitwise_count(lo[at] ^ lo[at + k]).astype(np.int64) <= radius]
+        hold(row[at], row[at + k])
+    if found:
+        a, b = (np.concatenate(x) for x in zip(*found))
+        label = roots(len(words), np.concatenate([a, np.arange(len(words))]), np.concatenate([b, label]))
+    return label
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of n numbers each, one after another."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _searcher(radius: int, top: int):
+    """Over (block, name, hi, lo) rows, whole shards together: star edges of what is near, at most one a signature."""
+    places = blocks(radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
-        sample, key, hi, lo = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((lo, hi, key, sample))
-        shard = np.cumsum(np.concatenate([[0], (np.diff(sample[order]) != 0) | (np.diff(key[order]) != 0)]))
+        block, name, hi, lo = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((lo, hi, name, block))
+        block, name = block[order], name[order]
         words = np.stack([hi[order], lo[order]], 1).view(np.uint64)
+        del hi, lo, order
         distinct, number = _number(words)
-        label = np.arange(len(distinct))
-        for a, b in search(words, shard, radius):  # what was found already is one item by now
-            a, b = label[number[a]], label[number[b]]
-            if (a != b).any():
-                label = roots(len(distinct), a, b)[label]
+        label, found, held = np.arange(len(distinct)), [], 0
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(name) != 0), [True]]))
+        for i, j in zip(edge[:-1], edge[1:]):
+            least = linked(words[i:j], *variants(words[i:j], places[block[i]], top, int(name[i])), radius)
+            at = np.flatnonzero(least != np.arange(j - i))
+            found.append((number[i + at], number[i + least[at]]))
+            held += len(at)
+            if held > PAIRS or j == len(words):
+                a, b = (np.concatenate(x) for x in zip(*found))
+                label = roots(len(distinct), np.concatenate([a, np.arange(len(distinct))]), np.concatenate([b, label]))
+                found, held = [], 0
         moved = np.flatnonzero(label != np.arange(len(distinct)))
         ends = np.concatenate([distinct[moved], distinct[label[moved]]], 1).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in range(4)], ["uh", "ul", "vh", "vl"])
@@ -233,24 +353,25 @@ def groups(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str =
     rows = cut_lineage(signed.filter(F.col("hi").isNotNull()).select(F.col("_r.id").alias(key), F.col("_r.th").alias("th"), "hi", "lo"))
     first = F.min(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), "th")).alias("least")
     distinct = cut_lineage(rows.groupBy("hi", "lo").agg(first, F.count(F.lit(1)).alias("n")))
-    bits, samples = sharding(distinct.count(), radius)
-    positions = _positions(bits, samples)
+    places = blocks(radius)
+    top = naming(distinct.count(), places.shape[1])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hi, lo = (c.to_numpy() for c in batch.columns)
             for i in range(0, len(hi), 1 << 12):
                 h, w = hi[i : i + (1 << 12)], lo[i : i + (1 << 12)]
-                keys = shard_keys(np.stack([h, w], 1).view(np.uint64), positions)
-                sample = np.tile(np.arange(samples, dtype=np.int32), len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(sample), pa.array(keys.ravel()), pa.array(np.repeat(h, samples)), pa.array(np.repeat(w, samples))], ["sample", "key", "hi", "lo"])
+                names = shard_names(np.stack([h, w], 1).view(np.uint64), places, top)
+                block = np.broadcast_to(np.arange(len(places), dtype=np.int32)[None, :, None], names.shape).ravel()
+                times = names[0].size if len(h) else 0
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(names.ravel()), pa.array(np.repeat(h, times)), pa.array(np.repeat(w, times))], ["block", "name", "hi", "lo"])
 
-    shards = distinct.select("hi", "lo").mapInArrow(spread, "sample int, key long, hi long, lo long").repartition("sample", "key")
-    found = shards.mapInArrow(T.tidy(_searcher(radius)), "uh long, ul long, vh long, vl long")
+    shards = distinct.select("hi", "lo").mapInArrow(spread, "block int, name long, hi long, lo long").repartition("block", "name")
+    found = shards.mapInArrow(T.tidy(_searcher(radius, top)), "uh long, ul long, vh long, vl long")
     pair = lambda a, b: F.struct(F.col(a).alias("hi"), F.col(b).alias("lo"))
-    linked = components(found.select(pair("uh", "ul").alias("u"), pair("vh", "vl").alias("v")))
-    linked = linked.select(F.col("u.hi").alias("hi"), F.col("u.lo").alias("lo"), "root")
-    named = distinct.join(linked, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
+    rooted = components(found.select(pair("uh", "ul").alias("u"), pair("vh", "vl").alias("v")))
+    rooted = rooted.select(F.col("u.hi").alias("hi"), F.col("u.lo").alias("lo"), "root")
+    named = distinct.join(rooted, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
     kept = named.groupBy("root").agg(F.min(F.struct("least", "hi", "lo")).alias("k"), F.sum("n").alias("members")).filter("members > 1")
     out = named.join(kept, "root").select("hi", "lo", F.col("k.least.id").alias("keeper"), F.col("k.least.th").alias("kt"), F.col("k.hi").alias("kh"), F.col("k.lo").alias("kl"), "members")
     return rows, cut_lineage(out)
@@ -269,9 +390,9 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: s
     hash of the text), `members` its number of rows, `exact` says whether the
     signatures are equal. A repeated row is a copy like any other: its id then
     equals keeper_id. Rows without a word (NULL, empty, punctuation) are in no
-    group. Every signature is a query, no shard or group is capped; a pair at
-    the radius meets with chance RECALL, a nearer one more surely, at any size
-    of the table. Other columns are ignored; an empty table gives no rows.
+    group. Every signature is a query, no shard or group is capped, and every
+    pair within the radius is found, at any size of the table. Other columns
+    are ignored; an empty table gives no rows.
     """
     rows, out = groups(docs, radius, text, key)
     mine = rows.groupBy(key, "th", "hi", "lo").agg(F.count(F.lit(1)).alias("n"))

@@ -161,3 +161,43 @@ def test_join_way_gives_the_same(spark, corpus, monkeypatch):
     a = {r.doc_id for r in S.accept(docs).collect()}
     monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
     assert a == {r.doc_id for r in S.accept(docs).collect()}
+
+
+def flipped(rng, words, n):
+    """`words` with n bits of each row flipped."""
+    out = words.copy()
+    flips = np.argsort(rng.random((len(out), S.BITS)), axis=1)[:, :n]
+    for k in range(n):
+        out[np.arange(len(out)), flips[:, k] >> 6] ^= np.uint64(1) << (flips[:, k] & 63).astype(np.uint64)
+    return out
+
+
+def test_every_pair_at_the_radius_is_linked(spark, monkeypatch):
+    """Signatures with one partner each, RADIUS bits away: none is left out."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63, (4000, 2)).view(np.uint64)
+    rows = np.concatenate([base, flipped(rng, base, S.RADIUS)]).view(np.int64).tolist()
+    docs = spark.createDataFrame([(i, f"{h} {w}") for i, (h, w) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(S, "signatures", lambda d, text, key: d.selectExpr(key, f"cast(split({text}, ' ')[0] as long) as hi", f"cast(split({text}, ' ')[1] as long) as lo"))
+    assert {(r.doc_id, r.keeper_id, r.members) for r in S.duplicates(docs).collect()} == {(4000 + i, i, 2) for i in range(4000)}
+
+
+@pytest.mark.parametrize("radius, top", [(0, 3), (1, 0), (7, 2), (20, 0), (20, 5), (20, 18), (45, 4), (130, 1)])
+def test_blocks_link_what_all_pairs_link(radius, top):
+    """Families, large ones too, and unrelated signatures in shards of any number of names, against all pairs."""
+    rng = np.random.default_rng(radius + top)
+    base = rng.integers(-(2**63), 2**63, (150, 2)).view(np.uint64)
+    rows = [base, *(flipped(rng, base, n) for n in {radius // 2, min(radius, 128), min(radius + 1, 128)}), flipped(rng, np.repeat(base[:1], 200, 0), min(radius // 2, 64))]
+    rows = np.unique(np.concatenate(rows), axis=0)
+    d = np.bitwise_count(rows[:, None] ^ rows[None]).sum(-1)
+    places = S.blocks(radius)
+    top = min(top, places.shape[1])
+    names = S.shard_names(rows, places, top)
+    edges = []
+    for block in range(len(places)):
+        for name in np.unique(names[:, block]):
+            mine = np.flatnonzero((names[:, block] == name).any(1))
+            least = S.linked(rows[mine], *S.variants(rows[mine], places[block], top, int(name)), radius)
+            edges.append(np.stack([mine, mine[least]]))
+    a, b = np.concatenate(edges, 1)
+    assert (S.roots(len(rows), a, b) == S.roots(len(rows), *np.nonzero(d <= radius))).all()
