@@ -202,7 +202,7 @@ def variants(words: np.ndarray, places: np.ndarray, top: int, name: int) -> tupl
 
 
 #: Pairs that are held at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 
 
 def linked(words: np.ndarray, row: np.ndarray, value: np.ndarray, radius: int) -> np.ndarray:

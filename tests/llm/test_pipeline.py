@@ -81,3 +81,15 @@ def test_nothing_in_nothing_out(spark, sf_dir):
     for _, f in P.STAGES:
         out = f(spark, docs, sf_dir[0])
         assert out.count() == 0
+
+
+def test_passages_whose_pieces_many_hold_stay_once(spark):
+    """Of 50 words that two documents share, others hold every piece of 40: one of the two alone keeps them."""
+    rnd = random.Random(5)
+    words = lambda n: ["".join(rnd.choice("abcdefghijklmn") for _ in range(rnd.randrange(3, 9))) for _ in range(n)]
+    rows, shared = [], [words(50) for _ in range(8)]
+    for p in shared:
+        rows += [words(60) + p[i : i + 40] + words(60) for i in range(11) for _ in range(3)] + [words(60) + p + words(60) for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    after = [r.text for r in P.cut_repeats(spark, docs, "").collect()]
+    assert len(after) == len(rows) and [sum(" ".join(p) in t for t in after) for p in shared] == [1] * 8
