@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from unicodedata import category
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +55,132 @@ def detect(text: str | None, profiles: dict[str, dict[str, int]] | None = None)
     return min((distance(p), code) for code, p in sorted((profiles or PROFILES).items()))[1]
 
 
+#: Of each code point: whether it is of a word by _WORD, of one by \p{L}, and whether it was looked up; 0 before.
+_KIND = np.zeros(0x110000, np.uint8)
+WORD, LETTER, KNOWN = 1, 2, 4
+#: Texts whose grams are counted at once, at most, and their characters, about.
+_TEXTS, _CHARS = 512, 1 << 16
+
+
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    found = _KIND[codes]
+    if not found.all():
+        for c in np.unique(codes[found == 0]).tolist():
+            x = chr(c)
+            _KIND[c] = KNOWN | (WORD if _WORD.match(x) else 0) | (LETTER if category(x)[0] == "L" else 0)
+        found = _KIND[codes]
+    return found
+
+
+def counted(texts: list[str], kind: int = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, gram, number) of all 1- to 3-grams of the padded words of at most _TEXTS texts, by text and gram.
+
+    A gram is a number of up to three code points of 21 bits from the highest
+    on, so that numbers have the order of the strings.
+    """
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    inside = np.concatenate([[False], (_kinds(codes) & kind) > 0, [False]])
+    up, down = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    if not len(up):
+        return (np.zeros(0, np.int64),) * 3
+    size = down - up + 2
+    begin = np.cumsum(size) - size
+    here = np.zeros(int(codes.max()) + 1 + ord("_"), bool)
+    here[codes[inside[1:-1]]] = here[ord("_")] = True
+    letters, rank = np.flatnonzero(here), np.cumsum(here)
+    width = len(letters).bit_length()
+    padded = np.full(int(size.sum()), rank[ord("_")])
+    body = np.ones(len(padded), bool)
+    body[begin] = body[begin + size - 1] = False
+    padded[body] = rank[codes[inside[1:-1]]]
+    who = np.repeat(np.searchsorted(ends, up, "right"), size) << 3 * width
+    one = who + (padded << 2 * width)
+    two = (one[:-1] + (padded[1:] << width))[~_last(begin, size, len(padded), 1)[:-1]]
+    three = (one[:-2] + (padded[1:-1] << width) + padded[2:])[~_last(begin, size, len(padded), 2)[:-2]]
+    every = np.concatenate([one[body], two, three])
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    gram, mask, letters = every[first], (1 << width) - 1, np.append(0, letters).astype(np.int64)
+    number = letters[gram >> 2 * width & mask] << 42 | letters[gram >> width & mask] << 21 | letters[gram & mask]
+    return gram >> 3 * width, number, np.diff(np.append(first, len(every)))
+
+
+def _last(begin: np.ndarray, size: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Of n places, the last k of each word."""
+    out = np.zeros(n, bool)
+    for i in range(1, k + 1):
+        out[begin + size - i] = True
+    return out
+
+
+def _number(gram: str) -> int:
+    return sum(ord(c) << 21 * (2 - i) for i, c in enumerate(gram))
+
+
+def _string(number: int) -> str:
+    return "".join(chr(c) for c in (number >> 42, number >> 21 & 0x1FFFFF, number & 0x1FFFFF) if c)
+
+
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if len(held) == _TEXTS or size >= _CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def detect_all(texts: list[str | None], profiles: dict[str, dict[str, int]] | None = None) -> list[str]:
+    """`detect` of each text, many at once."""
+    named = sorted((profiles or PROFILES).items())
+    known = np.unique(np.array([_number(g) for _, p in named for g in p], np.int64))
+    ranks = np.full((len(named), len(known) + 1), -1, np.int64)
+    for i, (_, p) in enumerate(named):
+        ranks[i, np.searchsorted(known, np.array([_number(g) for g in p], np.int64))] = list(p.values())
+    known, out = np.append(known, np.iinfo(np.int64).max), []
+    for some in _slices([(t or "").lower() for t in texts]):
+        who, gram, n = counted(some)
+        order = np.argsort((who << 40) - n, kind="stable")
+        who, gram = who[order], gram[order]
+        begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else who
+        place = np.arange(len(who)) - np.repeat(begin, np.diff(np.append(begin, len(who))))
+        top = place < SIZE
+        who, gram, place = who[top], gram[top], place[top]
+        at = np.searchsorted(known, gram)
+        at[known[at] != gram] = len(known) - 1
+        codes = [""] * len(some)
+        if len(who):
+            begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+            far = np.array([np.add.reduceat(np.where(r[at] < 0, SIZE, np.abs(place - r[at])), begin) for r in ranks])
+            for t, k in zip(who[begin].tolist(), far.argmin(axis=0).tolist()):
+                codes[t] = named[k][0]
+        out += codes
+    return out
+
+
 def train_profiles(texts: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZE) -> dict[str, dict[str, int]]:
     """Profiles of labelled texts, counted over all of them; `size` grams a language are collected."""
-    words = texts.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    padded = words.select("lang", "n", F.concat(F.lit("_"), "word", F.lit("_")).alias("w"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
-    grams = padded.filter(F.length("w") >= F.col("k")).select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("k") + 1), lambda i: F.substring("w", i, F.col("k")))).alias("g"))
-    counts = grams.filter("g != '_'").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    rows = texts.select(F.col(lang).cast("string").alias("lang"), F.lower(text).alias("t")).filter("t IS NOT NULL")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict[str | None, list[str]] = {}
+            for code, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(code, []).append(t)
+            for code, own in by.items():
+                found = [counted(some, LETTER)[1:] for some in _slices(own)]
+                gram, n = (np.concatenate(c) for c in zip(*found))
+                gram, which = np.unique(gram, return_inverse=True)
+                total = np.zeros(len(gram), np.int64)
+                np.add.at(total, which, n)
+                yield pa.RecordBatch.from_arrays([pa.array([code] * len(gram), pa.string()), pa.array(list(map(_string, gram.tolist())), pa.string()), pa.array(total)], ["lang", "g", "n"])
+
+    ship_active()
+    counts = rows.mapInArrow(grams, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     top = counts.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "g"))), 1, size).alias("t"))
     return {r.lang: {x["g"]: k for k, x in enumerate(r.t)} for r in top.collect() if r.lang is not None}
 
@@ -68,6 +191,6 @@ def detect_language(text: Column | str, profiles: dict[str, dict[str, int]] | No
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([detect(x, profiles) for x in column.to_pylist()], pa.string())
+        return pa.array(detect_all(column.to_pylist(), profiles), pa.string())
 
     return run(F.col(text) if isinstance(text, str) else text)

@@ -1,5 +1,7 @@
 """Column functions on the reference cases and beyond."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,14 @@ def test_scan_equals_patterns():
             want.append(((m[3] or m[1] or "!").lower(), m[2] == "/", m[4] or "", html[at : m.start()]))
             at = m.end()
         assert list(H.scan(html)) == [*want, ("", False, "", html[at:])], html
+
+
+def test_languages_of_many_texts_at_once():
+    """As text by text: any script, ties, digits, capitals without a lower case, more texts than a slice takes."""
+    rnd = random.Random(3)
+    letters = "abcdeéßñσΣςİı中文字漢ѡж𝔄ª²½_ 019-'\n\t \u0301"
+    texts = [None, "", "123 _", "²", *lang.SAMPLES.values()] + ["".join(rnd.choices(letters, k=rnd.randrange(120))) for _ in range(1200)]
+    texts += ["".join(chr(rnd.randrange(0x61, 0x3000)) for _ in range(3000)), "x" * 2_000_000]
+    profiles = {"b": lang.ranked("abc dé"), "a": lang.ranked("abc dé"), "z": lang.ranked("中文 жж")}
+    for p in (None, profiles):
+        assert lang.detect_all(texts, p) == [lang.detect(t, p) for t in texts]
