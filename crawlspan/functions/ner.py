@@ -105,8 +105,8 @@ def entity_rows(df: DataFrame) -> DataFrame:
 _LISTS = {"PERSON": "pers", "ORGANIZATION": "org", "LOCATION": "loc"}
 
 
-def split_lists(lines: DataFrame) -> DataFrame:
-    """date, kind (pers, org, loc), entity of lines `... {PERSON=[a, b], ORGANIZATION=[..], LOCATION=[..]} ...`; date: the first eight digits of a line."""
+def split_lists(lines: DataFrame, *also: Column) -> DataFrame:
+    """Columns `also` of the line, date, kind (pers, org, loc), entity of lines `... {PERSON=[a, b], ORGANIZATION=[..], LOCATION=[..]} ...`; date: the first eight digits of a line."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("value", f"{t}=\\[([^\\]]*)\\]", 1).alias("list")) for t, k in _LISTS.items()]))
-    rows = lines.select(F.nullif(F.regexp_extract("value", r"(\d{8})", 1), F.lit("")).alias("date"), each.alias("x"))
-    return rows.select("date", "x.kind", F.explode(F.split("x.list", ", ")).alias("entity")).filter("entity != ''")
+    rows = lines.select(*also, F.nullif(F.regexp_extract("value", r"(\d{8})", 1), F.lit("")).alias("date"), each.alias("x"))
+    return rows.select(*rows.columns[:-1], "x.kind", F.explode(F.split("x.list", ", ")).alias("entity")).filter("entity != ''")

@@ -86,10 +86,21 @@ def by_month(lines: DataFrame, date: Column | str, path: str, files: int = 8) ->
     lines.select("value", month.alias("month")).repartition("month", F.pmod(F.xxhash64("value"), F.lit(files))).write.mode("overwrite").partitionBy("month").text(path)
 
 
+#: Lines whose entities are one file's of a kind, about, where there are more than `files` of them.
+LINES = 1 << 17
+
+
 def entity_lists(lines: DataFrame, path: str, dated: bool = False, files: int = 8) -> None:
-    """Entities of NER lines into a folder for each kind (pers, org, loc), and for each date if `dated`, of up to `files` files each."""
+    """Entities of NER lines into a folder for each kind (pers, org, loc), and for each date if `dated`, of up to `files` files each.
+
+    From files * LINES lines on there are more files, so that a task's rows don't
+    grow with the input; an entity that many lines name is spread over all of them.
+    """
     from crawlspan.functions.ner import split_lists
 
-    rows = split_lists(lines)
     keys = ["date", "kind"] if dated else ["kind"]
-    rows.select(F.col("entity").alias("value"), *keys).repartition(*keys, F.pmod(F.xxhash64("entity"), F.lit(files))).write.mode("overwrite").partitionBy(*keys).text(path)
+    parts = max(files, -(-lines.count() // LINES))
+    rows = split_lists(lines, F.pmod(F.xxhash64("value"), F.lit(parts)).alias("_part")).select(F.col("entity").alias("value"), *keys, "_part")
+    by = [*keys, F.col("_part")]
+    rows = rows.repartition(*by) if parts == files else rows.repartition(4 * parts, *by)
+    rows.drop("_part").write.mode("overwrite").partitionBy(*keys).text(path)

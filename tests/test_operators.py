@@ -292,3 +292,13 @@ def test_entity_nesting(spark):
     df = A.combine_entities(spark.createDataFrame(rows, "date string, domain string, ner_type string, entity string"))
     assert df.count() == 1
     assert sorted((r.ner_type, r.entity, r.freq) for r in A.explode_entities(df).collect()) == [("LOCATION", "Y", 1), ("PERSON", "X", 2)]
+
+
+def test_entity_lists_of_many_lines(spark, tmp_path, monkeypatch):
+    """An entity that all lines name doesn't come to one file; all rows are there."""
+    monkeypatch.setattr(sinks, "LINES", 50)
+    lines = spark.range(2000).selectExpr("concat('20080430 {PERSON=[q, p', id, '], ORGANIZATION=[], LOCATION=[]}') as value")
+    sinks.entity_lists(lines, f"{tmp_path}/e")
+    found = [open(f).read().split() for f in glob.glob(f"{tmp_path}/e/kind=pers/part*")]
+    assert sorted(x for f in found for x in f) == sorted(["q"] * 2000 + [f"p{k}" for k in range(2000)])
+    assert max(len(f) for f in found) < 1000
