@@ -302,3 +302,15 @@ def test_entity_lists_of_many_lines(spark, tmp_path, monkeypatch):
     found = [open(f).read().split() for f in glob.glob(f"{tmp_path}/e/kind=pers/part*")]
     assert sorted(x for f in found for x in f) == sorted(["q"] * 2000 + [f"p{k}" for k in range(2000)])
     assert max(len(f) for f in found) < 1000
+
+
+def test_index_of_repeated_keys(spark, monkeypatch):
+    """Rows that share a key, NULL too, count as one document; runs of few documents and blocks of few postings give the same counts."""
+    texts = ["One one two", "two THREE É²", "the one", "ein Straße", "x1 x1", None, "", "Ωs ΑΣ"]
+    docs = spark.createDataFrame([(k if k % 5 else None, texts[k % 8] + " common" if texts[k % 8] else None) for k in list(range(40)) + [3, 3, 17]], "id long, text string")
+    want = {(r.term, r.id): r.tf for r in I.term_counts(docs, "id", "text").collect()}
+    monkeypatch.setattr(I, "_HELD", 1)
+    for block in (4, 1000):
+        rows = I.inverted_index(docs, "id", "text", block=block).collect()
+        assert {(r.term, p.key): p.tf for r in rows for p in r.postings} == want and sum(len(r.postings) for r in rows) == len(want)
+        assert all(r.df == sum(t == r.term for t, _ in want) for r in rows) and all(r.postings == sorted(r.postings, key=lambda p: (p.key is not None, p.key or 0)) for r in rows)
